@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import exact_dedup, url_filter
+from tickloom.llm import byte_bpe, exact_dedup, packing, url_filter
 
 OPERATORS = {
     "op3_url_filter": url_filter,
+    "op4_byte_bpe": byte_bpe,
+    "op5_best_fit_packing": packing,
     "op9_exact_dedup": exact_dedup,
 }
 
