@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.session import ship_code
+
 #: Where no cluster names a shared folder (local runs and tests).
 LOCAL_SHARED_DIR = "/tmp/checkpoints/tickloom"
 
@@ -33,6 +35,7 @@ def text_of(column: str = "text") -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_code(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -50,3 +53,37 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows:
     hot = F.broadcast(groups.where(F.col(size) > limit))
     cold = groups.where(F.col(size) <= limit)
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
+#: Rows of an id list that may be broadcast: 16 MB of ids.
+MAX_BROADCAST_IDS = 1_000_000
+
+
+def _by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    small = ids.count() <= MAX_BROADCAST_IDS
+    side = ids.select(F.col(ids.columns[0]).alias("_only_id"))
+    return docs.join(F.broadcast(side) if small else side, F.col("doc_id") == F.col("_only_id"), how)
+
+
+def keep_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id is in the one column of ids; a long list is joined by a shuffle."""
+    return _by_id(docs, ids, "left_semi")
+
+
+def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id isn't in the one column of ids; a long list is joined by a shuffle."""
+    return _by_id(docs, ids, "left_anti")
+
+
+def small_join(rows: DataFrame, groups: DataFrame, key: str, most: int = 10_000) -> DataFrame:
+    """rows left-joined with one row a key; broadcast if there are few keys, so that a frequent key stays spread."""
+    groups = cut(groups)
+    return rows.join(F.broadcast(groups) if groups.count() <= most else groups, key, "left")
+
+
+def shard_keys(spark: SparkSession) -> list[int]:
+    """One long for each shuffle partition, which repartition(n, key) deals to that partition."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    to = F.pmod(F.hash("id"), F.lit(n))
+    rows = spark.range(0, 40 * n + 200).groupBy(to.alias("to")).agg(F.min("id").alias("id")).collect()
+    return sorted(r["id"] for r in rows)
