@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import byte_bpe, exact_dedup, packing, quality_lm, toxicity, url_filter
+from tickloom.llm import byte_bpe, exact_dedup, fingerprint, packing, quality_lm, toxicity, url_filter
 
 OPERATORS = {
     "op1_quality_kneser_ney": quality_lm,
     "op3_url_filter": url_filter,
     "op4_byte_bpe": byte_bpe,
     "op5_best_fit_packing": packing,
+    "op6_fingerprint_cws": fingerprint,
     "op7_toxicity_ordinal": toxicity,
     "op9_exact_dedup": exact_dedup,
 }
