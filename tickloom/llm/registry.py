@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import byte_bpe, exact_dedup, fingerprint, packing, quality_lm, suffix_dedup, toxicity, url_filter
+from tickloom.llm import byte_bpe, exact_dedup, fingerprint, near_dedup, packing, quality_lm, suffix_dedup, toxicity, url_filter
 
 OPERATORS = {
     "op1_quality_kneser_ney": quality_lm,
+    "op2_minhash_lsh_forest": near_dedup,
     "op3_url_filter": url_filter,
     "op4_byte_bpe": byte_bpe,
     "op5_best_fit_packing": packing,
