@@ -1,11 +1,20 @@
-"""The corpus pipeline: STAGES applied to ``documents`` in order, each written and read again."""
+"""The corpus pipeline: STAGES applied to ``documents`` in order, each written and read again.
+
+Every stage but the last returns the columns of documents.  Stages see the whole of what their predecessor kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import exact_dedup
-from tickloom.llm.common import cut
+from tickloom.llm import exact_dedup, near_dedup, packing, pii, quality_lm
+from tickloom.llm.common import cut, table
+from tickloom.session import ship_code
+
+
+def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go; it is trained on those labelled good."""
+    return quality_lm.keep(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,8 +22,29 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return exact_dedup.keep(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    ship_code(spark)
+    return near_dedup.keep(docs, scan=True)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data gives way to the name of its kind."""
+    return pii.redact(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The texts as pieces of sequences of 1024 tokens."""
+    ship_code(spark)
+    return packing.pack(packing.cut_pieces(docs))
+
+
 STAGES = [
+    ("quality_classifier", keep_good_quality),
     ("exact_dedup", drop_exact_copies),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("pii", redact_personal_data),
+    ("best_fit_packing", pack_sequences),
 ]
 
 #: The stages train models and cut by a tokenizer, which SQL can't express; tests compare with a brute-force version.
@@ -22,7 +52,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import byte_bpe, exact_dedup, fingerprint, near_dedup, packing, quality_lm, suffix_dedup, toxicity, url_filter
+from tickloom.llm import byte_bpe, exact_dedup, fingerprint, near_dedup, packing, pii, quality_lm, suffix_dedup, toxicity, url_filter
 
 OPERATORS = {
     "op1_quality_kneser_ney": quality_lm,
@@ -16,6 +16,7 @@ OPERATORS = {
     "op5_best_fit_packing": packing,
     "op6_fingerprint_cws": fingerprint,
     "op7_toxicity_ordinal": toxicity,
+    "op8_pii_weak_supervision": pii,
     "op9_exact_dedup": exact_dedup,
     "op10_suffix_dedup": suffix_dedup,
 }
