@@ -75,6 +75,11 @@ def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return _by_id(docs, ids, "left_anti")
 
 
+def mark_ids(docs: DataFrame, ids: DataFrame, flag: str) -> DataFrame:
+    """docs with a boolean column: doc_id is in the one column of ids."""
+    return _by_id(docs, ids, "left").withColumn(flag, F.col("_only_id").isNotNull()).drop("_only_id")
+
+
 def small_join(rows: DataFrame, groups: DataFrame, key: str, most: int = 10_000) -> DataFrame:
     """rows left-joined with one row a key; broadcast if there are few keys, so that a frequent key stays spread."""
     groups = cut(groups)
