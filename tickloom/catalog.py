@@ -4,16 +4,424 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tickloom import oracle
+from tickloom.functions import clock, kernels, scalars
+from tickloom.operators import jobs, parity, stats, universe
+from tickloom.plans import features as plan
+from tickloom.plans import tape as tapes
+from tickloom.schema import FEATURES, GROUPS, TICK_GROUPS, VERSION, columns_of
+from tickloom.sources import adapters, stores
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+def _w():
+    return Window.partitionBy("ticker", "session_date").orderBy("ts_ns")
+
+
+PARITY = ["returns_r_1", "candle_body", "vwap_level", "gap_from_open"]
+
+
+def utc(spark: SparkSession) -> SparkSession:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return spark
+
+
+def rounded(df: DataFrame, names) -> DataFrame:
+    """Six decimals, so that engines that add in another order agree; no negative zero."""
+    return df.withColumns({n: F.round(F.col(n).cast("double"), 6) + 0.0 for n in names})
+
+
+def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars with their session."""
+    b, _, _ = adapters.load(utc(spark), sf_dir)
+    return b.withColumn("session_date", clock.session_date(F.col("ts_ns")))
+
+
+def vectors(spark: SparkSession, sf_dir: str, groups=None) -> DataFrame:
+    b, t, q = adapters.load(utc(spark), sf_dir)
+    if groups is not None and not set(groups) & set(TICK_GROUPS):
+        t = q = None  # bar groups need no tape of ticks
+    return plan.compute(b, t, q, groups)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    return rounded(vectors(spark, sf_dir), FEATURES)
+
+
+def group_query(name: str) -> Query:
+    return lambda spark, sf_dir: rounded(vectors(spark, sf_dir, [name]), columns_of(name))
+
+
+def kernel_query(make: Callable[[], dict]) -> Query:
+    def run(spark, sf_dir):
+        cols = make()
+        df = bars(spark, sf_dir).select("ticker", "ts_ns", *(c.alias(n) for n, c in cols.items()))
+        return rounded(df, cols)
+
+    return run
+
+
+def tape_order(spark, sf_dir):
+    b, t, q = adapters.load(utc(spark), sf_dir)
+    w = Window.partitionBy(*tapes.KEYS).orderBy(*tapes.order_columns())
+    tape = tapes.build(b, t, q)
+    return tape.select("ticker", F.col("session_date").cast("string").alias("session_date"), "kind", "ts_ns", "seq", F.row_number().over(w).cast("long").alias("pos"))
+
+
+def asof_prevailing_quote(spark, sf_dir):
+    b, t, q = adapters.load(utc(spark), sf_dir)
+    tape = tapes.with_quotes(tapes.build(b, t, q)).where("kind = 'trade'")
+    sign = F.when(F.col("q_mid").isNull() | (F.col("price") >= F.col("q_mid")), 1).otherwise(-1).cast("long")
+    return rounded(tape.select("ticker", "seq", "q_mid", sign.alias("sign")), ["q_mid"])
+
+
+def tick_to_bar(spark, sf_dir):
+    b, t, q = adapters.load(utc(spark), sf_dir)
+    tape = tapes.with_bar_index(tapes.build(b, t, q))
+    last = Window.partitionBy(*tapes.KEYS)
+    out = tape.withColumn("_n", F.sum("is_bar").over(last)).where("kind != 'bar'")
+    return out.select("ticker", "seq", "kind", F.when(F.col("bar_idx") < F.col("_n"), F.col("bar_idx")).cast("long").alias("bar_idx"))
+
+
+def ewma(spark, sf_dir):
+    df = kernels.with_ewma(bars(spark, sf_dir), {"e_9": ("close", 9), "e_50": ("close", 50)}, ["ticker", "session_date"], ["ts_ns"])
+    return rounded(df.select("ticker", "ts_ns", "e_9", "e_50"), ["e_9", "e_50"])
+
+
+def compacted_window(spark, sf_dir):
+    """Rolling sums over the last five prices that are pushed, those of bars with an even trade count."""
+    df = bars(spark, sf_dir).withColumn("x", F.when(F.col("trade_count") % 2 == 0, F.col("close")))
+    df = kernels.pushes(df, "x", ["ticker", "session_date"], ["ts_ns"], "n")
+    w = kernels.by_pushes(["ticker", "session_date"], "n", 5)
+    return rounded(df.select("ticker", "ts_ns", F.sum("x").over(w).alias("s_5"), F.count("x").over(w).alias("n_5")), ["s_5"])
+
+
+def two_sources(spark, sf_dir):
+    """Backfill rows (two of three minutes) and provisional ones (all, half a unit off)."""
+    b = bars(spark, sf_dir).select("ticker", "ts_ns", "close", clock.minute_bucket(F.col("ts_ns")).alias("m"))
+    settled = b.where("m % 3 != 0").select("ticker", "ts_ns", F.col("close").alias("x"))
+    return settled, b.select("ticker", "ts_ns", (F.col("close") + 0.5).alias("x"))
+
+
+def merged(spark, sf_dir):
+    return rounded(stores.merge(*two_sources(spark, sf_dir)), ["x"])
+
+
+def deduped(spark, sf_dir):
+    settled, live = two_sources(spark, sf_dir)
+    both = settled.withColumn("write_seq", F.lit(2)).unionByName(live.withColumn("write_seq", F.lit(1)))
+    return rounded(stores.last_write_wins(both).drop("write_seq"), ["x"])
+
+
+def settled_dates(spark, sf_dir):
+    return bars(spark, sf_dir).select(F.col("session_date").cast("string").alias("date")).distinct()
+
+
+def day_bounds_filter(spark, sf_dir):
+    """Bars of the New York days around a change of clocks and the first of the data."""
+    start, end = clock.day_bounds(F.col("day"))
+    days = F.broadcast(utc(spark).createDataFrame([("2024-01-02",), ("2024-01-10",)], "day string").select(F.col("day").cast("date").alias("day")).select("day", start.alias("a"), end.alias("z")))
+    b = bars(spark, sf_dir)
+    return b.join(days, (b.session_date == days.day) & (b.ts_ns >= days.a) & (b.ts_ns < days.z)).select("ticker", "ts_ns", F.col("day").cast("string").alias("day"))
+
+
+def parity_sides(spark, sf_dir):
+    a = vectors(spark, sf_dir, ["returns", "candle", "vwap", "gap"]).select("ticker", "ts_ns", *PARITY)
+    m = clock.minute_bucket(F.col("ts_ns"))
+    b = a.where(m % 11 != 0).withColumn("returns_r_1", F.when(m % 7 == 0, F.col("returns_r_1") + 0.25).otherwise(F.col("returns_r_1")))
+    return a, b.withColumn("vwap_level", F.when(m % 5 == 0, F.lit(None).cast("double")).otherwise(F.col("vwap_level")))
+
+
+def parity_summary(spark, sf_dir):
+    return rounded(parity.summary(*parity_sides(spark, sf_dir)), ["match_pct"])
+
+
+def parity_worst(spark, sf_dir):
+    return rounded(parity.worst(*parity_sides(spark, sf_dir)).select("feature", "cells", "mismatches", "max_abs_diff"), ["max_abs_diff"])
+
+
+def daily(spark, sf_dir):
+    items = utc(spark).read.parquet(f"{sf_dir}/lineitem.parquet")
+    return items.groupBy(F.col("l_partkey").cast("string").alias("symbol"), F.to_date("l_shipdate").alias("day")).agg(
+        F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("close"), F.sum("l_quantity").alias("volume")
+    )
+
+
+UNIVERSE_DAY, UNIVERSE_ADV, UNIVERSE_SIZE = "2000-06-30", 20_000.0, 50
+
+
+def universe_adv(spark, sf_dir):
+    return rounded(universe.dollar_volume(daily(spark, sf_dir), UNIVERSE_DAY, lookback=400), ["price", "adv_dollar"])
+
+
+def universe_select(spark, sf_dir):
+    s = universe.dollar_volume(daily(spark, sf_dir), UNIVERSE_DAY, lookback=400)
+    return rounded(universe.select(s, min_adv=UNIVERSE_ADV, max_symbols=UNIVERSE_SIZE), ["price", "adv_dollar"])
+
+
+def assets(spark, sf_dir):
+    """Parts as listed assets."""
+    p = utc(spark).read.parquet(f"{sf_dir}/part.parquet")
+    k = F.col("p_partkey")
+    name = F.when(k % 5 == 0, F.concat("p_name", F.lit(" ETF"))).when(k % 7 == 0, F.concat(F.lit("Ultra Short "), F.col("p_name"))).when(k % 11 == 0, F.lit(None).cast("string")).otherwise(F.col("p_name"))
+    exchange = F.element_at(F.array(*map(F.lit, (*scalars.EXCHANGES, "OTC"))), (k % 6 + 1).cast("int"))
+    symbol = F.when(k % 13 == 0, F.concat(F.lit("P/"), k.cast("string"))).otherwise(F.concat(F.lit("P"), k.cast("string")))
+    return p.select(symbol.alias("symbol"), name.alias("name"), exchange.alias("exchange"), (k % 4 != 0).alias("tradable"))
+
+
+def structural_filter(spark, sf_dir):
+    return universe.candidates(assets(spark, sf_dir)).select("symbol", "exchange")
+
+
+def etf_like(spark, sf_dir):
+    return assets(spark, sf_dir).select("symbol", scalars.is_fund(F.col("name")).alias("is_fund"))
+
+
+def coverage_matrix(spark, sf_dir):
+    return stats.coverage(bars(spark, sf_dir).where("trade_count % 3 != 0").select(F.col("session_date").cast("string").alias("date"), "ticker"))
+
+
+def latency_percentiles(spark, sf_dir):
+    b = bars(spark, sf_dir)
+    return rounded(stats.distribution(b, "volume", ["ticker"]), ["mean", "p50", "p90", "p95", "p99", "max"])
+
+
+def histogram_buckets(spark, sf_dir):
+    return stats.histogram(bars(spark, sf_dir), "close", stats.COMPUTE_BUCKETS_MS, ["ticker"])
+
+
+def shard_assignment(spark, sf_dir):
+    return stats.shards(bars(spark, sf_dir), 3).withColumn("shard", F.col("shard").cast("long"))
+
+
+def shard_sizes(spark, sf_dir):
+    return stats.shard_sizes(bars(spark, sf_dir), 3)
+
+
+def trading_days(spark, sf_dir):
+    return jobs.trading_days(utc(spark), "2024-01-01", "2024-01-31").select(F.col("day").cast("string").alias("day"))
+
+
+def day_tickers(spark, sf_dir):
+    return bars(spark, sf_dir).select(F.col("session_date").alias("day"), "ticker").distinct()
+
+
+def retention_plan(spark, sf_dir):
+    kinds = F.explode(F.array(*map(F.lit, jobs.KEEP_DAYS)))
+    parts = day_tickers(spark, sf_dir).select("day").distinct().select(kinds.alias("kind"), "day")
+    return jobs.expired(parts, "2024-02-20").groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def idempotent_jobs(spark, sf_dir):
+    have = day_tickers(spark, sf_dir)
+    days = jobs.trading_days(utc(spark), "2023-12-25", "2024-02-05")
+    some = have.where(F.dayofmonth("day") % 2 == 0)
+    return jobs.missing_jobs(days, have, some).select(F.col("day").cast("string").alias("day"), "ticker")
+
+
+def ready_jobs(spark, sf_dir):
+    have = day_tickers(spark, sf_dir)
+    days = jobs.trading_days(utc(spark), "2023-12-25", "2024-02-05")
+    wanted = have.select("ticker").distinct().crossJoin(F.broadcast(days))
+    return jobs.ready_jobs(wanted, have).select(F.col("day").cast("string").alias("day"), "ticker")
+
+
+def valid_count(spark, sf_dir):
+    f = vectors(spark, sf_dir)
+    return f.select("ticker", "ts_ns", plan.valid_count(f).cast("long").alias("n_valid"))
+
+
+def vectors_per_minute(spark, sf_dir):
+    b = bars(spark, sf_dir).withColumn("ts", F.timestamp_micros(F.call_function("div", F.col("ts_ns"), F.lit(1000))))
+    per = b.groupBy(F.window("ts", "5 minutes").alias("w")).agg(F.count("*").alias("n"))
+    return per.select(F.unix_micros("w.start").alias("start_us"), "n", (F.col("n") / 5.0).alias("per_minute"))
+
+
+def bar_latency(spark, sf_dir):
+    b = bars(spark, sf_dir).withColumn("received_ns", F.col("ts_ns") + 59_500_000_000 + F.col("trade_count") * 400_000_000)
+    return rounded(stats.bar_latency(b).select("ticker", "ts_ns", "latency_s"), ["latency_s"])
+
+
+def store_partitions(spark, sf_dir):
+    settled, live = two_sources(spark, sf_dir)
+    both = settled.withColumn("source", F.lit("backfill")).unionByName(live.withColumn("source", F.lit("stream")))
+    day = clock.session_date(F.col("ts_ns")).cast("string")
+    return both.groupBy(F.lit(VERSION).alias("v"), "source", day.alias("date")).agg(F.count("*").alias("n_rows"))
+
+
+def feature_catalog(spark, sf_dir):
+    rows = [(g, VERSION, len(c), ",".join(c)) for g, c in GROUPS.items()]
+    return utc(spark).createDataFrame(rows, "name string, version string, n_columns long, columns string")
+
+
+def feature_projection(spark, sf_dir):
+    f = plan.project(vectors(spark, sf_dir, ["returns", "rsi"]), ["rsi_rsi_14", "returns_r_1", "unknown"])
+    return rounded(f, ["rsi_rsi_14", "returns_r_1"])
+
+
+def bars_from_ticks(spark, sf_dir):
+    return rounded(bars(spark, sf_dir).drop("session_date"), ["open", "high", "low", "close", "volume", "vwap"])
+
+
+
+QUERIES: dict[str, Query] = {
+    "feature_vector_full": flagship,
+    "bars_from_ticks": bars_from_ticks,
+    "tape_order": tape_order,
+    "asof_prevailing_quote": asof_prevailing_quote,
+    "tick_to_bar": tick_to_bar,
+    **{f"f_{g}": group_query(g) for g in GROUPS},
+    "feature_projection": feature_projection,
+    "rolling_sum": kernel_query(lambda: {"s_5": kernels.rolling_sum(F.col("volume"), _w(), 5), "m_5": kernels.rolling_mean(F.col("volume"), _w(), 5)}),
+    "rolling_moments": kernel_query(lambda: {"m_20": kernels.rolling_mean(F.col("close"), _w(), 20), "sd_20": kernels.rolling_std(F.col("close"), _w(), 20)}),
+    "rolling_extrema": kernel_query(lambda: {"hi_15": kernels.rolling_max(F.col("high"), _w(), 15), "lo_15": kernels.rolling_min(F.col("low"), _w(), 15)}),
+    "rolling_array": kernel_query(lambda: {"last_3": F.element_at(kernels.rolling_array(F.col("close"), _w(), 3), 1), "n_3": F.size(kernels.rolling_array(F.col("close"), _w(), 3))}),
+    "ewma": ewma,
+    "welford": kernel_query(lambda: {"mean": kernels.session_mean(F.col("close"), _w()), "var": kernels.running_var(F.col("close"), _w()), "std": kernels.running_std(F.col("close"), _w())}),
+    "session_sum": kernel_query(lambda: {"total": kernels.session_sum(F.col("volume"), _w()), "mean": kernels.session_mean(F.col("volume"), _w())}),
+    "running_extrema": kernel_query(lambda: {"hi": kernels.running_max(F.col("high"), _w()), "lo": kernels.running_min(F.col("low"), _w())}),
+    "compacted_window": compacted_window,
+    "merge_backfill_over_stream": merged,
+    "dedupe_last_write": deduped,
+    "settled_dates": settled_dates,
+    "day_bounds_filter": day_bounds_filter,
+    "parity_summary": parity_summary,
+    "parity_worst": parity_worst,
+    "universe_adv": universe_adv,
+    "universe_select": universe_select,
+    "structural_filter": structural_filter,
+    "etf_like": etf_like,
+    "coverage_matrix": coverage_matrix,
+    "latency_percentiles": latency_percentiles,
+    "histogram_buckets": histogram_buckets,
+    "shard_assignment": shard_assignment,
+    "shard_sizes": shard_sizes,
+    "trading_days": trading_days,
+    "retention_plan": retention_plan,
+    "idempotent_jobs": idempotent_jobs,
+    "ready_jobs": ready_jobs,
+    "valid_count": valid_count,
+    "vectors_per_minute": vectors_per_minute,
+    "bar_latency": bar_latency,
+    "store_partitions": store_partitions,
+    "feature_catalog": feature_catalog,
+}
+
+_r, _ev = oracle.r6, oracle.with_events
+_OVER = "OVER (PARTITION BY ticker, d ORDER BY ts_ns ROWS {} PRECEDING)"
+
+
+def _roll(*cols: tuple[str, str, int | None]) -> str:
+    out = ", ".join(_r(x.replace("@", _OVER.format("UNBOUNDED" if n is None else n - 1)), name) for name, x, n in cols)
+    return _ev(f"SELECT ticker, ts_ns, {out} FROM br")
+
+
+_SOURCES = "s AS (SELECT ticker, ts_ns, close AS x FROM br WHERE mb % 3 != 0), l AS (SELECT ticker, ts_ns, close + 0.5 AS x FROM br)"
+_MERGED = _ev(f", {_SOURCES} SELECT ticker, ts_ns, {_r('coalesce(s.x, l.x)', 'x')} FROM l LEFT JOIN s USING (ticker, ts_ns)")
+_DAILY = "daily AS (SELECT CAST(l_partkey AS VARCHAR) AS symbol, CAST(l_shipdate AS DATE) AS day, avg(l_extendedprice / l_quantity) AS close, sum(l_quantity) AS volume FROM lineitem GROUP BY 1, 2)"
+_ADV = (
+    f"WITH {_DAILY}, k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY day DESC) AS rn FROM daily "
+    f"WHERE day BETWEEN DATE '{UNIVERSE_DAY}' - INTERVAL 400 DAY AND DATE '{UNIVERSE_DAY}'), "
+    "s AS (SELECT symbol, arg_max(close, day) AS price, avg(close * volume) AS adv_dollar FROM k WHERE rn <= 20 GROUP BY 1)"
+)
+_ASSETS = (
+    "WITH a AS (SELECT CASE WHEN p_partkey % 13 = 0 THEN 'P/' || p_partkey ELSE 'P' || p_partkey END AS symbol, "
+    "CASE WHEN p_partkey % 5 = 0 THEN p_name || ' ETF' WHEN p_partkey % 7 = 0 THEN 'Ultra Short ' || p_name WHEN p_partkey % 11 = 0 THEN NULL ELSE p_name END AS name, "
+    "['NASDAQ', 'NYSE', 'AMEX', 'ARCA', 'BATS', 'OTC'][p_partkey % 6 + 1] AS exchange, p_partkey % 4 != 0 AS tradable FROM part), "
+    "f AS (SELECT *, regexp_matches(coalesce(name, ''), '" + scalars.FUND_PATTERN + "') AS is_fund FROM a)"
+)
+_SIDES = (
+    "a AS (SELECT * FROM f), b AS (SELECT ticker, ts_ns, CASE WHEN mb % 7 = 0 THEN returns_r_1 + 0.25 ELSE returns_r_1 END AS returns_r_1, candle_body, "
+    "CASE WHEN mb % 5 = 0 THEN NULL ELSE vwap_level END AS vwap_level, gap_from_open FROM f WHERE mb % 11 != 0), "
+    "j AS (" + " UNION ALL ".join(f"SELECT '{x}' AS feature, {i} AS pos, a.{x} AS u, b.{x} AS w FROM a JOIN b USING (ticker, ts_ns)" for i, x in enumerate(PARITY)) + "), "
+    "g AS (SELECT feature, pos, u, w, CASE WHEN u IS NULL AND w IS NULL THEN 0 WHEN u IS NULL OR w IS NULL THEN 1 WHEN abs(u - w) <= 1e-6 + 1e-3 * abs(w) THEN 0 ELSE 1 END AS bad FROM j)"
+)
+_DAYS = "days AS (SELECT CAST(x AS DATE) AS day FROM generate_series(DATE '{}', DATE '{}', INTERVAL 1 DAY) t(x) WHERE isodow(x) < 6)"
+_HAVE = "have AS (SELECT DISTINCT d AS day, ticker FROM br)"
+
+ORACLE: dict[str, str] = {
+    "feature_vector_full": oracle.features(),
+    "bars_from_ticks": _ev(f"SELECT ticker, ts_ns, {', '.join(_r(x, x) for x in ('open', 'high', 'low', 'close', 'volume', 'vwap'))}, trade_count FROM br"),
+    "tape_order": _ev(
+        ", u AS (SELECT ticker, d, mb, 0 AS b, ts_ns, 0 AS k, seq, 'quote' AS kind FROM q1 UNION ALL SELECT ticker, d, mb, 0, ts_ns, 1, seq, 'trade' FROM t1 "
+        "UNION ALL SELECT ticker, d, mb, 1, ts_ns, 2, 0, 'bar' FROM br) SELECT ticker, CAST(d AS VARCHAR) AS session_date, kind, ts_ns, seq, "
+        "row_number() OVER (PARTITION BY ticker, d ORDER BY mb, b, ts_ns, k, seq) AS pos FROM u"
+    ),
+    "asof_prevailing_quote": _ev(f"SELECT ticker, seq, {_r('q_mid', 'q_mid')}, CAST(sign AS BIGINT) AS sign FROM t2"),
+    "tick_to_bar": _ev("SELECT ticker, seq, 'trade' AS kind, idx AS bar_idx FROM t3 UNION ALL SELECT ticker, seq, 'quote', idx FROM q2"),
+    **{f"f_{g}": oracle.group(g) for g in GROUPS},
+    "feature_projection": oracle.features(["rsi_rsi_14", "returns_r_1"]),
+    "rolling_sum": _roll(("s_5", "sum(volume) @", 5), ("m_5", "avg(volume) @", 5)),
+    "rolling_moments": _roll(("m_20", "avg(close) @", 20), ("sd_20", "CASE WHEN count(*) @ >= 2 THEN stddev_pop(close) @ END", 20)),
+    "rolling_extrema": _roll(("hi_15", "max(high) @", 15), ("lo_15", "min(low) @", 15)),
+    "rolling_array": _roll(("last_3", "list(close) @[1]", 3), ("n_3", "len(list(close) @)", 3)).replace("list(close) OVER (PARTITION BY ticker, d ORDER BY ts_ns ROWS 2 PRECEDING)[1]", "(list(close) OVER (PARTITION BY ticker, d ORDER BY ts_ns ROWS 2 PRECEDING))[1]"),
+    "ewma": _ev(f"SELECT ticker, ts_ns, {_r(oracle._ew('close', 9), 'e_9')}, {_r(oracle._ew('close', 50), 'e_50')} FROM br WINDOW w AS (PARTITION BY ticker, d ORDER BY ts_ns)"),
+    "welford": _roll(("mean", "avg(close) @", None), ("var", "CASE WHEN count(*) @ >= 2 THEN var_pop(close) @ END", None), ("std", "CASE WHEN count(*) @ >= 2 THEN stddev_pop(close) @ END", None)),
+    "session_sum": _roll(("total", "sum(volume) @", None), ("mean", "avg(volume) @", None)),
+    "running_extrema": _roll(("hi", "max(high) @", None), ("lo", "min(low) @", None)),
+    "compacted_window": _ev(
+        f", p AS (SELECT *, CASE WHEN trade_count % 2 = 0 THEN close END AS x FROM br), n AS (SELECT *, count(x) OVER (PARTITION BY ticker, d ORDER BY ts_ns) AS k FROM p) "
+        f"SELECT a.ticker, a.ts_ns, {_r('sum(b.x)', 's_5')}, count(b.x) AS n_5 FROM n a LEFT JOIN n b ON a.ticker = b.ticker AND a.d = b.d AND b.x IS NOT NULL AND b.ts_ns <= a.ts_ns AND b.k > a.k - 5 GROUP BY 1, 2"
+    ),
+    "merge_backfill_over_stream": _MERGED,
+    "dedupe_last_write": _MERGED,
+    "settled_dates": _ev("SELECT DISTINCT CAST(d AS VARCHAR) AS date FROM br"),
+    "day_bounds_filter": _ev("SELECT ticker, ts_ns, CAST(d AS VARCHAR) AS day FROM br WHERE d IN (DATE '2024-01-02', DATE '2024-01-10')"),
+    "parity_summary": oracle.with_features(
+        PARITY,
+        f", {_SIDES} SELECT (SELECT count(*) FROM a ANTI JOIN b USING (ticker, ts_ns)) AS only_a, 0::BIGINT AS only_b, (SELECT count(*) FROM b) AS matched, "
+        f"count(*) AS cells, CAST(sum(bad) AS BIGINT) AS mismatches, {_r('100.0 * (1 - sum(bad) / count(*))', 'match_pct')} FROM g",
+    ),
+    "parity_worst": oracle.with_features(
+        PARITY,
+        f", {_SIDES} SELECT feature, count(*) AS cells, CAST(sum(bad) AS BIGINT) AS mismatches, {_r('max(CASE WHEN bad = 1 THEN abs(u - w) END)', 'max_abs_diff')} FROM g GROUP BY feature, pos HAVING sum(bad) > 0",
+    ),
+    "universe_adv": f"{_ADV} SELECT symbol, {_r('price', 'price')}, {_r('adv_dollar', 'adv_dollar')} FROM s",
+    "universe_select": f"{_ADV} SELECT row_number() OVER (ORDER BY adv_dollar DESC, symbol) AS rank, symbol, {_r('price', 'price')}, {_r('adv_dollar', 'adv_dollar')} FROM s "
+    f"WHERE price >= 5 AND adv_dollar >= {UNIVERSE_ADV} ORDER BY adv_dollar DESC, symbol LIMIT {UNIVERSE_SIZE}",
+    "structural_filter": f"{_ASSETS} SELECT symbol, exchange FROM f WHERE tradable AND exchange IN ('NASDAQ', 'NYSE', 'AMEX', 'ARCA', 'BATS') AND NOT contains(symbol, '/') AND NOT is_fund",
+    "etf_like": f"{_ASSETS} SELECT symbol, is_fund FROM f",
+    "coverage_matrix": _ev(
+        ", p AS (SELECT DISTINCT CAST(d AS VARCHAR) AS date, ticker FROM br WHERE trade_count % 3 != 0) SELECT date, count(*) AS tickers, "
+        "CAST(round_even(255.0 * count(*) / (SELECT greatest(count(DISTINCT ticker), 1) FROM p), 0) AS BIGINT) AS level FROM p GROUP BY date"
+    ),
+    "latency_percentiles": _ev(
+        f"SELECT ticker, count(*) AS n, {_r('avg(volume)', 'mean')}, {', '.join(_r(f'quantile_cont(volume, {q})', f'p{round(100 * q)}') for q in stats.QUANTILES)}, {_r('max(volume)', 'max')} FROM br GROUP BY ticker"
+    ),
+    "histogram_buckets": _ev(
+        f"SELECT ticker, b.le, count(*) FILTER (b.le IS NULL OR close <= b.le) AS n FROM br, (VALUES {', '.join(f'(CAST({x} AS DOUBLE))' for x in stats.COMPUTE_BUCKETS_MS)}, (NULL)) b(le) GROUP BY ticker, b.le"
+    ),
+    "shard_assignment": _ev(f"SELECT DISTINCT ticker, s.shard::BIGINT AS shard FROM br JOIN (VALUES {oracle.shard_values(['T0', 'T1', 'T2', 'T3'], 3)}) s(ticker, shard) USING (ticker)"),
+    "shard_sizes": _ev(
+        f", s AS (SELECT shard, count(DISTINCT ticker) AS n FROM br JOIN (VALUES {oracle.shard_values(['T0', 'T1', 'T2', 'T3'], 3)}) s(ticker, shard) USING (ticker) GROUP BY shard) "
+        "SELECT min(n) AS min_tickers, max(n) AS max_tickers, count(*) AS used_shards FROM s"
+    ),
+    "trading_days": f"WITH {_DAYS.format('2024-01-01', '2024-01-31')} SELECT CAST(day AS VARCHAR) AS day FROM days",
+    "retention_plan": _ev(
+        f", {_HAVE} SELECT kind, count(*) AS n FROM (SELECT DISTINCT day FROM have), (VALUES ('quotes', 35), ('trades', 180), ('bars', 180)) k(kind, n) WHERE day < DATE '2024-02-20' - n::INTEGER GROUP BY kind"
+    ),
+    "idempotent_jobs": _ev(
+        f", {_HAVE}, {_DAYS.format('2023-12-25', '2024-02-05')} SELECT CAST(days.day AS VARCHAR) AS day, t.ticker FROM days, (SELECT DISTINCT ticker FROM have) t "
+        "WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.day = days.day AND h.ticker = t.ticker AND day(h.day) % 2 = 0)"
+    ),
+    "ready_jobs": _ev(f", {_HAVE}, {_DAYS.format('2023-12-25', '2024-02-05')} SELECT CAST(day AS VARCHAR) AS day, ticker FROM have JOIN days USING (day)"),
+    "valid_count": oracle.with_features(FEATURES, f" SELECT ticker, ts_ns, CAST({' + '.join(f'({x} IS NOT NULL)::INTEGER' for x in FEATURES)} AS BIGINT) AS n_valid FROM f"),
+    "vectors_per_minute": _ev("SELECT mb // 5 * 300000000 AS start_us, count(*) AS n, count(*) / 5.0 AS per_minute FROM br GROUP BY 1"),
+    "bar_latency": _ev(f"SELECT ticker, ts_ns, {_r('greatest((59500000000 + trade_count * 400000000 - 60000000000) / 1e9, 0)', 'latency_s')} FROM br"),
+    "store_partitions": _ev(
+        f", {_SOURCES}, u AS (SELECT 'backfill' AS source, ticker, ts_ns FROM s UNION ALL SELECT 'stream', ticker, ts_ns FROM l) "
+        f"SELECT '{VERSION}' AS v, source, CAST(br.d AS VARCHAR) AS date, count(*) AS n_rows FROM u JOIN br USING (ticker, ts_ns) GROUP BY ALL"
+    ),
+    "feature_catalog": "SELECT * FROM (VALUES " + ", ".join(f"('{g}', '{VERSION}', {len(c)}::BIGINT, '{','.join(c)}')" for g, c in GROUPS.items()) + ") t(name, version, n_columns, columns)",
+}
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tickloom.functions import clock, kernels
@@ -20,7 +20,6 @@ from tickloom.plans import tape as tapes
 from tickloom.schema import FEATURES, GROUPS, VERSION, columns_of
 
 KEYS = tapes.KEYS
-W = Window.partitionBy(*KEYS).orderBy("bar_idx")
 PRICES = ("open", "high", "low", "close", "volume", "vwap")
 #: Spans of exponential means at bar and quote grain.
 EMA_SPANS, SIGNAL_SPAN, RSI_SPAN, QUOTE_SPAN = (9, 12, 26, 50), 9, 27, 50
@@ -69,7 +68,8 @@ def bar_table(bars: DataFrame, trades: DataFrame | None, quotes: DataFrame | Non
     return out.where(F.col("ts_ns").isNotNull())
 
 
-c, o, h, low, v = (F.col(x) for x in ("close", "open", "high", "low", "volume"))
+def _w() -> WindowSpec:
+    return Window.partitionBy(*KEYS).orderBy("bar_idx")
 
 
 def _change(now: Column, past: Column) -> Column:
@@ -81,12 +81,12 @@ def _z(x: Column, mean: Column, std: Column) -> Column:
 
 
 def _returns(df):
-    return df.withColumns({f"returns_r_{n}": _change(c, F.lag("close", n).over(W)) for n in (1, 2, 5, 15, 30)})
+    return df.withColumns({f"returns_r_{n}": _change(F.col("close"), F.lag("close", n).over(_w())) for n in (1, 2, 5, 15, 30)})
 
 
 def _ema(df):
     df = kernels.with_ewma(df, {f"ema_ema_{n}": ("close", n) for n in EMA_SPANS}, KEYS, ["bar_idx"])
-    return df.withColumns({f"ema_dist_{n}": _change(c, F.col(f"ema_ema_{n}")) for n in (9, 50)})
+    return df.withColumns({f"ema_dist_{n}": _change(F.col("close"), F.col(f"ema_ema_{n}")) for n in (9, 50)})
 
 
 def _macd(df):
@@ -97,41 +97,41 @@ def _macd(df):
 
 
 def _momentum(df):
-    df = df.withColumns({"momentum_roc_10": _change(c, F.lag("close", 10).over(W)), "_r1": _change(c, F.lag("close", 1).over(W))})
-    return df.withColumn("momentum_accel", F.col("_r1") - F.lag("_r1").over(W)).drop("_r1")
+    df = df.withColumns({"momentum_roc_10": _change(F.col("close"), F.lag("close", 10).over(_w())), "_r1": _change(F.col("close"), F.lag("close", 1).over(_w()))})
+    return df.withColumn("momentum_accel", F.col("_r1") - F.lag("_r1").over(_w())).drop("_r1")
 
 
 def _gap(df):
-    first, top = F.first("open", ignorenulls=True).over(so_far(W)), F.max("high").over(so_far(W))
-    return df.withColumns({"gap_from_open": _change(c, first), "gap_high_from_open": _change(top, first)})
+    first, top = F.first("open", ignorenulls=True).over(so_far(_w())), F.max("high").over(so_far(_w()))
+    return df.withColumns({"gap_from_open": _change(F.col("close"), first), "gap_high_from_open": _change(top, first)})
 
 
 def _candle(df):
-    span = h - low
+    span = F.col("high") - F.col("low")
 
     def part(x):
         return F.when(span > 0, x / span).otherwise(F.when(span.isNotNull(), 0.0))
 
-    return df.withColumns({"candle_body": part(F.abs(c - o)), "candle_upper_wick": part(h - F.greatest(o, c)), "candle_lower_wick": part(F.least(o, c) - low)})
+    return df.withColumns({"candle_body": part(F.abs(F.col("close") - F.col("open"))), "candle_upper_wick": part(F.col("high") - F.greatest(F.col("open"), F.col("close"))), "candle_lower_wick": part(F.least(F.col("open"), F.col("close")) - F.col("low"))})
 
 
 def _sessionrange(df):
-    top, bottom = F.max("high").over(so_far(W)), F.min("low").over(so_far(W))
+    top, bottom = F.max("high").over(so_far(_w())), F.min("low").over(so_far(_w()))
     span = top - bottom
     pct = F.when(span > 0, F.when(bottom > 0, span / bottom)).otherwise(0.0)
-    return df.withColumns({"sessionrange_pos": F.when(span > 0, (c - bottom) / span).otherwise(0.5), "sessionrange_range_pct": pct})
+    return df.withColumns({"sessionrange_pos": F.when(span > 0, (F.col("close") - bottom) / span).otherwise(0.5), "sessionrange_range_pct": pct})
 
 
 def _rollrange(df):
     out = {}
     for n in (15, 60):
-        top, bottom = rolling_max(h, W, n), rolling_min(low, W, n)
-        out[f"rollrange_pos_{n}"] = F.when(top - bottom > 0, (c - bottom) / (top - bottom)).otherwise(0.5)
+        top, bottom = rolling_max(F.col("high"), _w(), n), rolling_min(F.col("low"), _w(), n)
+        out[f"rollrange_pos_{n}"] = F.when(top - bottom > 0, (F.col("close") - bottom) / (top - bottom)).otherwise(0.5)
     return df.withColumns(out)
 
 
 def _rsi(df):
-    move = c - F.lag("close").over(W)
+    move = F.col("close") - F.lag("close").over(_w())
     df = df.withColumns({"_gain": F.when(move.isNotNull(), F.greatest(move, F.lit(0.0))), "_loss": F.when(move.isNotNull(), F.greatest(-move, F.lit(0.0)))})
     df = kernels.with_ewma(df, {"_g": ("_gain", RSI_SPAN), "_l": ("_loss", RSI_SPAN)}, KEYS, ["bar_idx"])
     g, l_ = F.col("_g"), F.col("_l")
@@ -149,7 +149,7 @@ def _sessionclock(df):
 
 
 def _r1_pushes(df):
-    df = df.withColumn("_r1", _change(c, F.lag("close", 1).over(W)))
+    df = df.withColumn("_r1", _change(F.col("close"), F.lag("close", 1).over(_w())))
     return kernels.pushes(df, "_r1", KEYS, ["bar_idx"], "_seq")
 
 
@@ -169,39 +169,39 @@ def _rvol(df):
 
 
 def _atr(df):
-    past = F.lag("close").over(W)
-    df = df.withColumn("_tr", F.greatest(h - low, F.abs(h - past), F.abs(low - past)))
-    return df.withColumns({f"atr_atr_{n}": rolling_mean(F.col("_tr"), W, n) for n in (5, 14)}).drop("_tr")
+    past = F.lag("close").over(_w())
+    df = df.withColumn("_tr", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - past), F.abs(F.col("low") - past)))
+    return df.withColumns({f"atr_atr_{n}": rolling_mean(F.col("_tr"), _w(), n) for n in (5, 14)}).drop("_tr")
 
 
 def _boll(df):
-    mean, std = rolling_mean(c, W, 20), rolling_std(c, W, 20)
-    warm = F.count("close").over(last_n(W, 20)) == 20
+    mean, std = rolling_mean(F.col("close"), _w(), 20), rolling_std(F.col("close"), _w(), 20)
+    warm = F.count("close").over(last_n(_w(), 20)) == 20
     good = (std > 0) & (mean > 0)
     return df.withColumns({
-        "boll_pct_b": F.when(warm, F.when(good, (c - (mean - 2 * std)) / (4 * std)).otherwise(0.5)),
+        "boll_pct_b": F.when(warm, F.when(good, (F.col("close") - (mean - 2 * std)) / (4 * std)).otherwise(0.5)),
         "boll_bandwidth": F.when(warm, F.when(good, 4 * std / mean).otherwise(0.0)),
     })
 
 
 def _vwap(df):
-    level = ratio(F.sum((h + low + c) / 3 * v).over(so_far(W)), F.sum(v).over(so_far(W)))
-    return df.withColumn("vwap_level", level).withColumn("vwap_dist", _change(c, F.col("vwap_level")))
+    level = ratio(F.sum((F.col("high") + F.col("low") + F.col("close")) / 3 * F.col("volume")).over(so_far(_w())), F.sum(F.col("volume")).over(so_far(_w())))
+    return df.withColumn("vwap_level", level).withColumn("vwap_dist", _change(F.col("close"), F.col("vwap_level")))
 
 
 def _volprofile(df):
-    mean, std = rolling_mean(v, W, 20), rolling_std(v, W, 20)
-    return df.withColumns({"volprofile_rel_vol": ratio(v, mean), "volprofile_vol_z": _z(v, mean, std), "volprofile_cum_vol": F.sum(v).over(so_far(W))})
+    mean, std = rolling_mean(F.col("volume"), _w(), 20), rolling_std(F.col("volume"), _w(), 20)
+    return df.withColumns({"volprofile_rel_vol": ratio(F.col("volume"), mean), "volprofile_vol_z": _z(F.col("volume"), mean, std), "volprofile_cum_vol": F.sum(F.col("volume")).over(so_far(_w()))})
 
 
 def _tradeintensity(df):
     n = F.col("trade_count").cast("double")
-    mean, std = rolling_mean(n, W, 15), rolling_std(n, W, 15)
+    mean, std = rolling_mean(n, _w(), 15), rolling_std(n, _w(), 15)
     return df.withColumns({"tradeintensity_tc_mean": mean, "tradeintensity_tc_z": _z(n, mean, std)})
 
 
 def _tradeflow(df):
-    signed, size = F.sum("signed").over(so_far(W)), F.sum("size").over(so_far(W))
+    signed, size = F.sum("signed").over(so_far(_w())), F.sum("size").over(so_far(_w()))
     return df.withColumns({"tradeflow_ofi_session": ratio(signed, size), "tradeflow_ofi_1m": ratio(F.col("signed"), F.col("size"))})
 
 
@@ -225,7 +225,7 @@ def _trademicro(df):
     some = size > 0
     return df.withColumns({
         "trademicro_n_trades": F.when(some, n).otherwise(0.0), "trademicro_avg_size": F.when(some, size / n),
-        "trademicro_vwap_dist": F.when(some & (notional > 0), c / (notional / size) - 1),
+        "trademicro_vwap_dist": F.when(some & (notional > 0), F.col("close") / (notional / size) - 1),
         "trademicro_signed_frac": F.when(some, F.col("signed") / size), "trademicro_top_size_frac": F.when(some, F.col("top") / size),
     })
 
@@ -242,7 +242,7 @@ def _quotemicro(df):
 
 
 def _flowfreq(df):
-    prior = W.rowsBetween(-20, -1)
+    prior = _w().rowsBetween(-20, -1)
     out = {}
     for name, x in (("trade", F.col("n_trades").cast("double")), ("quote", F.col("n_all_quotes").cast("double"))):
         mean, std = F.avg(x).over(prior), F.when(F.count(x).over(prior) >= 2, F.stddev_pop(x).over(prior))
