@@ -29,9 +29,9 @@ def utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def rounded(df: DataFrame, names) -> DataFrame:
-    """Six decimals, so that engines that add in another order agree; no negative zero."""
-    return df.withColumns({n: F.round(F.col(n).cast("double"), 6) + 0.0 for n in names})
+def rounded(df: DataFrame, names, digits: int = 6) -> DataFrame:
+    """So many decimals that engines that add in another order agree; no negative zero."""
+    return df.withColumns({n: F.round(F.col(n).cast("double"), digits) + 0.0 for n in names})
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +91,16 @@ def ewma(spark, sf_dir):
     return rounded(df.select("ticker", "ts_ns", "e_9", "e_50"), ["e_9", "e_50"])
 
 
+def welford(spark, sf_dir):
+    """Running mean and deviation (the variance is its square, and rounding it would meet exact ties).
+
+    Means of cents over up to 64 bars end by the eighth decimal.
+    """
+    w, x = _w(), F.col("close")
+    df = bars(spark, sf_dir).select("ticker", "ts_ns", kernels.session_mean(x, w).alias("mean"), kernels.running_std(x, w).alias("std"))
+    return rounded(rounded(df, ["mean"], 8), ["std"])
+
+
 def compacted_window(spark, sf_dir):
     """Rolling sums over the last five prices that are pushed, those of bars with an even trade count."""
     df = bars(spark, sf_dir).withColumn("x", F.when(F.col("trade_count") % 2 == 0, F.col("close")))
@@ -154,12 +164,14 @@ UNIVERSE_DAY, UNIVERSE_ADV, UNIVERSE_SIZE = "2000-06-30", 20_000.0, 50
 
 
 def universe_adv(spark, sf_dir):
-    return rounded(universe.dollar_volume(daily(spark, sf_dir), UNIVERSE_DAY, lookback=400), ["price", "adv_dollar"])
+    s = universe.dollar_volume(daily(spark, sf_dir), UNIVERSE_DAY, lookback=400)
+    return rounded(rounded(s, ["price"], 8), ["adv_dollar"])
 
 
 def universe_select(spark, sf_dir):
     s = universe.dollar_volume(daily(spark, sf_dir), UNIVERSE_DAY, lookback=400)
-    return rounded(universe.select(s, min_adv=UNIVERSE_ADV, max_symbols=UNIVERSE_SIZE), ["price", "adv_dollar"])
+    s = universe.select(s, min_adv=UNIVERSE_ADV, max_symbols=UNIVERSE_SIZE)
+    return rounded(rounded(s, ["price"], 8), ["adv_dollar"])
 
 
 def assets(spark, sf_dir):
@@ -280,7 +292,7 @@ QUERIES: dict[str, Query] = {
     "rolling_extrema": kernel_query(lambda: {"hi_15": kernels.rolling_max(F.col("high"), _w(), 15), "lo_15": kernels.rolling_min(F.col("low"), _w(), 15)}),
     "rolling_array": kernel_query(lambda: {"last_3": F.element_at(kernels.rolling_array(F.col("close"), _w(), 3), 1), "n_3": F.size(kernels.rolling_array(F.col("close"), _w(), 3))}),
     "ewma": ewma,
-    "welford": kernel_query(lambda: {"mean": kernels.session_mean(F.col("close"), _w()), "var": kernels.running_var(F.col("close"), _w()), "std": kernels.running_std(F.col("close"), _w())}),
+    "welford": welford,
     "session_sum": kernel_query(lambda: {"total": kernels.session_sum(F.col("volume"), _w()), "mean": kernels.session_mean(F.col("volume"), _w())}),
     "running_extrema": kernel_query(lambda: {"hi": kernels.running_max(F.col("high"), _w()), "lo": kernels.running_min(F.col("low"), _w())}),
     "compacted_window": compacted_window,
@@ -314,8 +326,9 @@ _r, _ev = oracle.r6, oracle.with_events
 _OVER = "OVER (PARTITION BY ticker, d ORDER BY ts_ns ROWS {} PRECEDING)"
 
 
-def _roll(*cols: tuple[str, str, int | None]) -> str:
-    out = ", ".join(_r(x.replace("@", _OVER.format("UNBOUNDED" if n is None else n - 1)), name) for name, x, n in cols)
+def _roll(*cols: tuple[str, str, int | None], digits: dict[str, int] | None = None) -> str:
+    places = digits or {}
+    out = ", ".join(_r(x.replace("@", _OVER.format("UNBOUNDED" if n is None else n - 1)), name, places.get(name, 6)) for name, x, n in cols)
     return _ev(f"SELECT ticker, ts_ns, {out} FROM br")
 
 
@@ -359,7 +372,7 @@ ORACLE: dict[str, str] = {
     "rolling_extrema": _roll(("hi_15", "max(high) @", 15), ("lo_15", "min(low) @", 15)),
     "rolling_array": _roll(("last_3", "list(close) @[1]", 3), ("n_3", "len(list(close) @)", 3)).replace("list(close) OVER (PARTITION BY ticker, d ORDER BY ts_ns ROWS 2 PRECEDING)[1]", "(list(close) OVER (PARTITION BY ticker, d ORDER BY ts_ns ROWS 2 PRECEDING))[1]"),
     "ewma": _ev(f"SELECT ticker, ts_ns, {_r(oracle._ew('close', 9), 'e_9')}, {_r(oracle._ew('close', 50), 'e_50')} FROM br WINDOW w AS (PARTITION BY ticker, d ORDER BY ts_ns)"),
-    "welford": _roll(("mean", "avg(close) @", None), ("var", "CASE WHEN count(*) @ >= 2 THEN var_pop(close) @ END", None), ("std", "CASE WHEN count(*) @ >= 2 THEN stddev_pop(close) @ END", None)),
+    "welford": _roll(("mean", "avg(close) @", None), ("std", "CASE WHEN count(*) @ >= 2 THEN stddev_pop(close) @ END", None), digits={"mean": 8}),
     "session_sum": _roll(("total", "sum(volume) @", None), ("mean", "avg(volume) @", None)),
     "running_extrema": _roll(("hi", "max(high) @", None), ("lo", "min(low) @", None)),
     "compacted_window": _ev(
@@ -379,8 +392,8 @@ ORACLE: dict[str, str] = {
         PARITY,
         f", {_SIDES} SELECT feature, count(*) AS cells, CAST(sum(bad) AS BIGINT) AS mismatches, {_r('max(CASE WHEN bad = 1 THEN abs(u - w) END)', 'max_abs_diff')} FROM g GROUP BY feature, pos HAVING sum(bad) > 0",
     ),
-    "universe_adv": f"{_ADV} SELECT symbol, {_r('price', 'price')}, {_r('adv_dollar', 'adv_dollar')} FROM s",
-    "universe_select": f"{_ADV} SELECT row_number() OVER (ORDER BY adv_dollar DESC, symbol) AS rank, symbol, {_r('price', 'price')}, {_r('adv_dollar', 'adv_dollar')} FROM s "
+    "universe_adv": f"{_ADV} SELECT symbol, {_r('price', 'price', 8)}, {_r('adv_dollar', 'adv_dollar')} FROM s",
+    "universe_select": f"{_ADV} SELECT row_number() OVER (ORDER BY adv_dollar DESC, symbol) AS rank, symbol, {_r('price', 'price', 8)}, {_r('adv_dollar', 'adv_dollar')} FROM s "
     f"WHERE price >= 5 AND adv_dollar >= {UNIVERSE_ADV} ORDER BY adv_dollar DESC, symbol LIMIT {UNIVERSE_SIZE}",
     "structural_filter": f"{_ASSETS} SELECT symbol, exchange FROM f WHERE tradable AND exchange IN ('NASDAQ', 'NYSE', 'AMEX', 'ARCA', 'BATS') AND NOT contains(symbol, '/') AND NOT is_fund",
     "etf_like": f"{_ASSETS} SELECT symbol, is_fund FROM f",

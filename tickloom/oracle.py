@@ -139,8 +139,8 @@ _EXPR = {
 }
 
 
-def r6(expr: str, name: str) -> str:
-    return f"round(CAST({expr} AS DOUBLE), 6) + 0.0 AS {name}"
+def r6(expr: str, name: str, digits: int = 6) -> str:
+    return f"round(CAST({expr} AS DOUBLE), {digits}) + 0.0 AS {name}"
 
 
 def features(names: list[str] | None = None, where: str = "") -> str:
