@@ -265,7 +265,8 @@ def listed(spans: Column) -> Column:
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with every span of its text replaced by <KIND>; n_chars, if there, follows the new text."""
-    held = docs.withColumn("_pii_all", text_of(text_col)).withColumn("cands", _all_candidates(F.col("_pii_all")))
+    held = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("doc"), text_of(text_col).alias("_pii_all"))
+    held = held.withColumn("cands", _all_candidates(F.col("_pii_all")))
     spans = _spans(held, train(cut(candidates(docs, id_col, text_col))))
     # overlapping spans unite; then the text between them and their names are joined
     united = F.aggregate(
@@ -279,12 +280,13 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         ),
         lambda acc: F.concat(acc["text"], F.substring("_pii_all", acc["at"] + 1, F.length("_pii_all"))),
     )
-    text = F.when(F.size("spans") == 0, F.col(text_col)).otherwise(united)
-    out = spans.withColumn("_pii_new", text)
-    names = {text_col: F.col("_pii_new").alias(text_col)}
+    none = F.size("spans") == 0
+    new = spans.withColumn("new", F.when(none, F.col(f"doc.{text_col}")).otherwise(united))
+    names = {text_col: F.col("new").alias(text_col)}
     if "n_chars" in docs.columns:
-        names["n_chars"] = F.when(F.size("spans") == 0, F.col("n_chars")).otherwise(F.length("_pii_new")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
-    return out.select(*(names.get(c, F.col(c)) for c in docs.columns))
+        kind = docs.schema["n_chars"].dataType
+        names["n_chars"] = F.when(none, F.col("doc.n_chars")).otherwise(F.length("new")).cast(kind).alias("n_chars")
+    return new.select(*(names.get(c, F.col(f"doc.{c}").alias(c)) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
