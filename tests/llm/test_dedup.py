@@ -173,7 +173,8 @@ def test_repeated_passages_match_brute_force(documents, stored):
 
 def test_repeated_passages_of_nothing_and_of_repeated_rows(documents):
     assert suffix_dedup.repeated_runs(documents([])).count() == 0
-    text = "".join(random.Random(1).choice("abcdef") for _ in range(150))
+    rng = random.Random(1)
+    text = "".join(rng.choice("abcdef") for _ in range(150))
     rows = suffix_dedup.repeated_runs(documents([(1, text), (1, text)])).collect()
     assert sorted(r.n_removed for r in rows) == [0, 150]
 

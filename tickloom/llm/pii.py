@@ -7,7 +7,8 @@ words before the match, the characters at its edges and the make-up of its chara
 (Dawid and Skene) estimates how reliable each labeler is from the counts of vote patterns alone, and its posteriors
 train the final classifier, a logistic regression over the span's own features
 (kind, size, share of digits, edges, base check).  Candidates that it puts at DECIDE or
-more become spans too, unless they overlap a base span of their kind.
+more become spans too, unless they overlap a base span of their kind.  A base match that fails its check stays dropped:
+it only teaches the model what impostors look like.
 
 Documents are read once; votes and features are cut to a table.  Only counts of vote and feature patterns, whose number
 is bounded by their definition (1,215 and 3,600), reach the driver; models come back as literals.
@@ -252,7 +253,7 @@ def _spans(cands: DataFrame, model: tuple[float, list[list[float]]] | None) -> D
             z = z + F.element_at(F.array(*map(F.lit, w[j])), c["features"][name] + 1)
         return 1 / (1 + F.exp(-z)) >= DECIDE
 
-    free = F.filter("cands", lambda c: ~c["base"] & likely(c) & ~F.exists("base", lambda b: (b["kind"] == c["kind"]) & (b["start"] < c["end"]) & (b["end"] > c["start"])))
+    free = F.filter("cands", lambda c: ~c["base"] & (c["features"]["check"] > 0) & likely(c) & ~F.exists("base", lambda b: (b["kind"] == c["kind"]) & (b["start"] < c["end"]) & (b["end"] > c["start"])))
     return out.withColumn("spans", F.array_sort(F.concat("base", F.transform(free, plain))))
 
 
