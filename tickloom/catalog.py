@@ -31,7 +31,7 @@ def utc(spark: SparkSession) -> SparkSession:
 
 def rounded(df: DataFrame, names, digits: int = 6) -> DataFrame:
     """So many decimals that engines that add in another order agree; no negative zero."""
-    return df.withColumns({n: F.round(F.col(n).cast("double"), digits) + 0.0 for n in names})
+    return df.withColumns({n: F.round(F.col(n).cast("double"), oracle.DIGITS.get(n, digits)) + 0.0 for n in names})
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +87,9 @@ def tick_to_bar(spark, sf_dir):
 
 
 def ewma(spark, sf_dir):
-    df = kernels.with_ewma(bars(spark, sf_dir), {"e_9": ("close", 9), "e_50": ("close", 50)}, ["ticker", "session_date"], ["ts_ns"])
+    keys = ["ticker", "session_date"]
+    df = kernels.with_chunks(bars(spark, sf_dir), "close", keys, ["ts_ns"], "chunk")
+    df = kernels.with_ewma(df, {"e_9": ("close", 9), "e_50": ("close", 50)}, keys, ["ts_ns"], "chunk")
     return rounded(df.select("ticker", "ts_ns", "e_9", "e_50"), ["e_9", "e_50"])
 
 

@@ -89,31 +89,39 @@ def by_pushes(keys: list[str], seq: str, n: int) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(seq).rangeBetween(-(n - 1), 0)
 
 
-def with_ewma(df: DataFrame, specs: dict[str, tuple[str, int]], keys: list[str], order: list[Column | str]) -> DataFrame:
+def with_chunks(df: DataFrame, x: str, keys: list[str], order: list[Column | str], chunk: str) -> DataFrame:
+    """df with the number of its chunk: so many values of x have come before, over CHUNK."""
+    n = F.count(x).over(so_far(Window.partitionBy(*keys).orderBy(*order)))
+    return df.withColumn(chunk, F.greatest(F.call_function("div", n - 1, F.lit(CHUNK)), F.lit(0)))
+
+
+def with_ewma(df: DataFrame, specs: dict[str, tuple[str, int]], keys: list[str], order: list[Column | str], chunk: str) -> DataFrame:
     """df with exponential means: name -> (column, span); alpha = 2 / (span + 1), seeded by the first value.
 
-    e_i = a * sum_j b**(i-j) x_j within chunks of CHUNK values, each seeded with the end of the chunk before, so sums
-    stay in range however long the sequence.  Rows without a value carry the last mean.  Two extra windows over the
-    same keys and order: no shuffle.
+    e_i = a * sum_j b**(i-j) x_j within chunks (see with_chunks), each seeded with the end of the chunk before, so sums
+    stay in range however long the sequence; what reaches past a whole chunk weighs 1e-14.  Rows without a value carry
+    the last mean.  All means share the windows ``partition by keys order by chunk, order`` and ``partition by keys,
+    chunk order by order``, which one sort serves.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
+    whole = Window.partitionBy(*keys).orderBy(chunk, *order)
+    inside = Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     sources = sorted({c for c, _ in specs.values()})
-    for c in sources:
-        df = df.withColumn(f"_n_{c}", F.count(c).over(so_far(w)) - 1)
-        df = df.withColumn(f"_k_{c}", F.when(F.col(f"_n_{c}") >= 0, F.call_function("div", F.col(f"_n_{c}"), F.lit(CHUNK))).otherwise(F.lit(0)))
-    for name, (c, span) in specs.items():
+    for _, span in specs.values():
         if not 0 < span <= MAX_SPAN:
             raise ValueError(f"span must be above 0 and at most {MAX_SPAN}")
-        a = 2.0 / (span + 1)
-        b = 1.0 - a
-        n, k = F.col(f"_n_{c}"), F.col(f"_k_{c}")
-        i = F.pmod(n, F.lit(CHUNK))
-        inside = Window.partitionBy(*keys, f"_k_{c}").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        weight = F.when(n == 0, F.lit(1.0)).otherwise(F.lit(a))  # the very first value counts in full
-        local = F.pow(F.lit(b), i) * F.sum(weight * F.col(c) * F.pow(F.lit(b), -i)).over(inside)
-        df = df.withColumn(f"_l_{name}", F.when(n >= 0, local))
-        df = df.withColumn(f"_c_{name}", F.when((i == 0) & F.col(c).isNotNull() & (k > 0), F.lag(f"_l_{name}").over(w)))
+    df = df.withColumns({f"_i_{c}": F.count(c).over(inside) for c in sources} | {f"_n_{c}": F.count(c).over(so_far(whole)) for c in sources})
+    decay = {name: 1.0 - 2.0 / (span + 1) for name, (_, span) in specs.items()}
+    local = {}
+    for name, (c, span) in specs.items():
+        i, b = F.col(f"_i_{c}"), F.lit(decay[name])
+        weight = F.when(F.col(f"_n_{c}") == 1, F.lit(1.0)).otherwise(F.lit(2.0 / (span + 1)))  # the first value counts in full
+        local[f"_l_{name}"] = F.pow(b, i) * F.coalesce(F.sum(weight * F.col(c) * F.pow(b, -i)).over(inside), F.lit(0.0))
+    df = df.withColumns(local)
+    new = F.col(chunk) != F.lag(chunk).over(whole)
+    df = df.withColumns({f"_c_{name}": F.when(new, F.lag(f"_l_{name}").over(whole)) for name in specs})
+    out = {}
+    for name, (c, _) in specs.items():
         carried = F.coalesce(F.first(f"_c_{name}", ignorenulls=True).over(inside), F.lit(0.0))
-        df = df.withColumn(name, F.col(f"_l_{name}") + F.pow(F.lit(b), i + 1) * carried)
-    drop = [f"_{p}_{c}" for c in sources for p in "nk"] + [f"_{p}_{n}" for n in specs for p in "lc"]
-    return df.drop(*drop)
+        out[name] = F.when(F.col(f"_n_{c}") > 0, F.col(f"_l_{name}") + F.pow(F.lit(decay[name]), F.col(f"_i_{c}")) * carried)
+    drop = [f"_{p}_{c}" for c in sources for p in "in"] + [f"_{p}_{n}" for n in specs for p in "lc"]
+    return df.withColumns(out).drop(*drop)

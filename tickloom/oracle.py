@@ -139,12 +139,16 @@ _EXPR = {
 }
 
 
+#: Decimals of columns whose values meet exact ties at the sixth.
+DIGITS = {"ema_dist_9": 8, "ema_dist_50": 8}
+
+
 def r6(expr: str, name: str, digits: int = 6) -> str:
     return f"round(CAST({expr} AS DOUBLE), {digits}) + 0.0 AS {name}"
 
 
 def features(names: list[str] | None = None, where: str = "") -> str:
-    cols = ", ".join(r6(_EXPR[n], n) for n in (names or FEATURES))
+    cols = ", ".join(r6(_EXPR[n], n, DIGITS.get(n, 6)) for n in (names or FEATURES))
     return f"WITH {_EVENTS}{_TICKS}{_BARS} SELECT ticker, ts_ns, {cols} FROM a6 {where}"
 
 

@@ -8,7 +8,7 @@ asked for is pruned.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -43,7 +43,8 @@ def bar_table(bars: DataFrame, trades: DataFrame | None, quotes: DataFrame | Non
         "_imb": F.when(valid, F.coalesce(F.when(depth > 0, (F.col("bid_size") - F.col("ask_size")) / depth), F.lit(0.0))),
     })
     cols = tapes.order_columns(order)
-    t = kernels.with_ewma(t, {"_spread_ewma": ("_spread", QUOTE_SPAN)}, KEYS, cols)
+    t = kernels.with_chunks(t, "_spread", KEYS, cols, "_quote_chunk")
+    t = kernels.with_ewma(t, {"_spread_ewma": ("_spread", QUOTE_SPAN)}, KEYS, cols, "_quote_chunk")
     before = Window.partitionBy(*KEYS, "bar_idx").orderBy(*cols).rowsBetween(Window.unboundedPreceding, -1)
     t = t.withColumn("_prev", F.when(valid, F.last(F.when(valid, F.struct("ts_ns", "_spread", "_imb")), ignorenulls=True).over(before)))
     t = t.withColumn("_dt", F.when(F.col("_prev").isNotNull(), F.greatest(F.col("ts_ns") - F.col("_prev.ts_ns"), F.lit(0)).cast("double")))
@@ -65,11 +66,12 @@ def bar_table(bars: DataFrame, trades: DataFrame | None, quotes: DataFrame | Non
         F.max_by("_spread", F.when(valid, position)).alias("end_spread"), F.max_by("_imb", F.when(valid, position)).alias("end_imb"),
         *(of_bar(c).alias(c) for c in ("q_mid", "q_bid", "q_ask", "q_bid_size", "q_ask_size", "_spread_ewma", "_last_spread")),
     )
-    return out.where(F.col("ts_ns").isNotNull())
+    out = out.where(F.col("ts_ns").isNotNull())
+    return kernels.with_chunks(out, "close", KEYS, ["bar_idx"], "chunk")
 
 
 def _w() -> WindowSpec:
-    return Window.partitionBy(*KEYS).orderBy("bar_idx")
+    return Window.partitionBy(*KEYS).orderBy("chunk", "bar_idx")
 
 
 def _change(now: Column, past: Column) -> Column:
@@ -80,184 +82,210 @@ def _z(x: Column, mean: Column, std: Column) -> Column:
     return F.when(std > 0, (x - mean) / std)
 
 
-def _returns(df):
-    return df.withColumns({f"returns_r_{n}": _change(F.col("close"), F.lag("close", n).over(_w())) for n in (1, 2, 5, 15, 30)})
+def _close():
+    return F.col("close")
 
 
-def _ema(df):
-    df = kernels.with_ewma(df, {f"ema_ema_{n}": ("close", n) for n in EMA_SPANS}, KEYS, ["bar_idx"])
-    return df.withColumns({f"ema_dist_{n}": _change(F.col("close"), F.col(f"ema_ema_{n}")) for n in (9, 50)})
+def _past(n: int) -> Column:
+    return F.lag("close", n).over(_w())
 
 
-def _macd(df):
-    df = kernels.with_ewma(df, {"_fast": ("close", 12), "_slow": ("close", 26)}, KEYS, ["bar_idx"])
-    df = df.withColumn("macd_macd", F.col("_fast") - F.col("_slow"))
-    df = kernels.with_ewma(df, {"macd_signal": ("macd_macd", SIGNAL_SPAN)}, KEYS, ["bar_idx"])
-    return df.withColumn("macd_hist", F.col("macd_macd") - F.col("macd_signal")).drop("_fast", "_slow")
+def _returns():
+    return {f"returns_r_{n}": _change(_close(), _past(n)) for n in (1, 2, 5, 15, 30)}
 
 
-def _momentum(df):
-    df = df.withColumns({"momentum_roc_10": _change(F.col("close"), F.lag("close", 10).over(_w())), "_r1": _change(F.col("close"), F.lag("close", 1).over(_w()))})
-    return df.withColumn("momentum_accel", F.col("_r1") - F.lag("_r1").over(_w())).drop("_r1")
+def _ema():
+    return {f"ema_dist_{n}": _change(_close(), F.col(f"ema_ema_{n}")) for n in (9, 50)}
 
 
-def _gap(df):
+def _macd_pre():
+    return {"macd_macd": F.col("_fast") - F.col("_slow")}
+
+
+def _macd():
+    return {"macd_hist": F.col("macd_macd") - F.col("macd_signal")}
+
+
+def _momentum():
+    return {"momentum_roc_10": _change(_close(), _past(10)), "momentum_accel": F.col("_r1") - F.lag("_r1").over(_w())}
+
+
+def _gap():
     first, top = F.first("open", ignorenulls=True).over(so_far(_w())), F.max("high").over(so_far(_w()))
-    return df.withColumns({"gap_from_open": _change(F.col("close"), first), "gap_high_from_open": _change(top, first)})
+    return {"gap_from_open": _change(_close(), first), "gap_high_from_open": _change(top, first)}
 
 
-def _candle(df):
-    span = F.col("high") - F.col("low")
+def _candle():
+    o, h, low, c = (F.col(x) for x in ("open", "high", "low", "close"))
+    span = h - low
 
     def part(x):
         return F.when(span > 0, x / span).otherwise(F.when(span.isNotNull(), 0.0))
 
-    return df.withColumns({"candle_body": part(F.abs(F.col("close") - F.col("open"))), "candle_upper_wick": part(F.col("high") - F.greatest(F.col("open"), F.col("close"))), "candle_lower_wick": part(F.least(F.col("open"), F.col("close")) - F.col("low"))})
+    return {"candle_body": part(F.abs(c - o)), "candle_upper_wick": part(h - F.greatest(o, c)), "candle_lower_wick": part(F.least(o, c) - low)}
 
 
-def _sessionrange(df):
+def _sessionrange():
     top, bottom = F.max("high").over(so_far(_w())), F.min("low").over(so_far(_w()))
     span = top - bottom
     pct = F.when(span > 0, F.when(bottom > 0, span / bottom)).otherwise(0.0)
-    return df.withColumns({"sessionrange_pos": F.when(span > 0, (F.col("close") - bottom) / span).otherwise(0.5), "sessionrange_range_pct": pct})
+    return {"sessionrange_pos": F.when(span > 0, (_close() - bottom) / span).otherwise(0.5), "sessionrange_range_pct": pct}
 
 
-def _rollrange(df):
+def _rollrange():
     out = {}
     for n in (15, 60):
         top, bottom = rolling_max(F.col("high"), _w(), n), rolling_min(F.col("low"), _w(), n)
-        out[f"rollrange_pos_{n}"] = F.when(top - bottom > 0, (F.col("close") - bottom) / (top - bottom)).otherwise(0.5)
-    return df.withColumns(out)
+        out[f"rollrange_pos_{n}"] = F.when(top - bottom > 0, (_close() - bottom) / (top - bottom)).otherwise(0.5)
+    return out
+
+
+def _rsi_pre():
+    move = _close() - _past(1)
+    return {"_gain": F.when(move.isNotNull(), F.greatest(move, F.lit(0.0))), "_loss": F.when(move.isNotNull(), F.greatest(-move, F.lit(0.0)))}
 
 
-def _rsi(df):
-    move = F.col("close") - F.lag("close").over(_w())
-    df = df.withColumns({"_gain": F.when(move.isNotNull(), F.greatest(move, F.lit(0.0))), "_loss": F.when(move.isNotNull(), F.greatest(-move, F.lit(0.0)))})
-    df = kernels.with_ewma(df, {"_g": ("_gain", RSI_SPAN), "_l": ("_loss", RSI_SPAN)}, KEYS, ["bar_idx"])
-    g, l_ = F.col("_g"), F.col("_l")
-    rsi = F.when(l_ > 0, 100 - 100 / (1 + g / l_)).when(g > 0, 100.0).when(g.isNotNull(), 50.0)
-    return df.withColumn("rsi_rsi_14", rsi).drop("_gain", "_loss", "_g", "_l")
+def _rsi():
+    g, loss = F.col("_g"), F.col("_l")
+    return {"rsi_rsi_14": F.when(loss > 0, 100 - 100 / (1 + g / loss)).when(g > 0, 100.0).when(g.isNotNull(), 50.0)}
 
 
-def _sessionclock(df):
+def _sessionclock():
     minute = clock.minute_of_day(F.col("ts_ns"))
     since = (minute - clock.OPEN_MINUTE).cast("double")
-    return df.withColumns({
+    return {
         "sessionclock_since_open": since, "sessionclock_to_close": (F.lit(clock.CLOSE_MINUTE) - minute).cast("double"),
         "sessionclock_progress": since / float(clock.CLOSE_MINUTE - clock.OPEN_MINUTE),
-    })
+    }
+
 
+def _r1_pre():
+    return {"_r1": _change(_close(), _past(1))}
 
-def _r1_pushes(df):
-    df = df.withColumn("_r1", _change(F.col("close"), F.lag("close", 1).over(_w())))
-    return kernels.pushes(df, "_r1", KEYS, ["bar_idx"], "_seq")
 
+def _seq_pre():
+    return {"_seq": F.count("_r1").over(so_far(_w()))}
 
-def _vol(df):
-    df = _r1_pushes(df)
+
+def _vol():
     out = {}
     for n in (5, 15, 30):
         w = kernels.by_pushes(KEYS, "_seq", n)
         out[f"vol_std_{n}"] = F.when(F.count("_r1").over(w) >= 2, F.stddev_pop("_r1").over(w))
-    return df.withColumns(out).drop("_r1", "_seq")
+    return out
+
+
+def _rvol():
+    return {f"rvol_rv_{n}": F.sqrt(F.sum(F.col("_r1") * F.col("_r1")).over(kernels.by_pushes(KEYS, "_seq", n))) for n in (5, 15, 30)}
 
 
-def _rvol(df):
-    df = _r1_pushes(df)
-    out = {f"rvol_rv_{n}": F.sqrt(F.sum(F.col("_r1") * F.col("_r1")).over(kernels.by_pushes(KEYS, "_seq", n))) for n in (5, 15, 30)}
-    return df.withColumns(out).drop("_r1", "_seq")
+def _atr_pre():
+    h, low, past = F.col("high"), F.col("low"), _past(1)
+    return {"_tr": F.greatest(h - low, F.abs(h - past), F.abs(low - past))}
 
 
-def _atr(df):
-    past = F.lag("close").over(_w())
-    df = df.withColumn("_tr", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - past), F.abs(F.col("low") - past)))
-    return df.withColumns({f"atr_atr_{n}": rolling_mean(F.col("_tr"), _w(), n) for n in (5, 14)}).drop("_tr")
+def _atr():
+    return {f"atr_atr_{n}": rolling_mean(F.col("_tr"), _w(), n) for n in (5, 14)}
 
 
-def _boll(df):
-    mean, std = rolling_mean(F.col("close"), _w(), 20), rolling_std(F.col("close"), _w(), 20)
+def _boll():
+    c = _close()
+    mean, std = rolling_mean(c, _w(), 20), rolling_std(c, _w(), 20)
     warm = F.count("close").over(last_n(_w(), 20)) == 20
     good = (std > 0) & (mean > 0)
-    return df.withColumns({
-        "boll_pct_b": F.when(warm, F.when(good, (F.col("close") - (mean - 2 * std)) / (4 * std)).otherwise(0.5)),
+    return {
+        "boll_pct_b": F.when(warm, F.when(good, (c - (mean - 2 * std)) / (4 * std)).otherwise(0.5)),
         "boll_bandwidth": F.when(warm, F.when(good, 4 * std / mean).otherwise(0.0)),
-    })
+    }
 
 
-def _vwap(df):
-    level = ratio(F.sum((F.col("high") + F.col("low") + F.col("close")) / 3 * F.col("volume")).over(so_far(_w())), F.sum(F.col("volume")).over(so_far(_w())))
-    return df.withColumn("vwap_level", level).withColumn("vwap_dist", _change(F.col("close"), F.col("vwap_level")))
+def _vwap():
+    typical = (F.col("high") + F.col("low") + F.col("close")) / 3
+    level = ratio(F.sum(typical * F.col("volume")).over(so_far(_w())), F.sum("volume").over(so_far(_w())))
+    return {"vwap_level": level, "vwap_dist": _change(_close(), level)}
 
 
-def _volprofile(df):
-    mean, std = rolling_mean(F.col("volume"), _w(), 20), rolling_std(F.col("volume"), _w(), 20)
-    return df.withColumns({"volprofile_rel_vol": ratio(F.col("volume"), mean), "volprofile_vol_z": _z(F.col("volume"), mean, std), "volprofile_cum_vol": F.sum(F.col("volume")).over(so_far(_w()))})
+def _volprofile():
+    v = F.col("volume")
+    mean, std = rolling_mean(v, _w(), 20), rolling_std(v, _w(), 20)
+    return {"volprofile_rel_vol": ratio(v, mean), "volprofile_vol_z": _z(v, mean, std), "volprofile_cum_vol": F.sum(v).over(so_far(_w()))}
 
 
-def _tradeintensity(df):
+def _tradeintensity():
     n = F.col("trade_count").cast("double")
     mean, std = rolling_mean(n, _w(), 15), rolling_std(n, _w(), 15)
-    return df.withColumns({"tradeintensity_tc_mean": mean, "tradeintensity_tc_z": _z(n, mean, std)})
+    return {"tradeintensity_tc_mean": mean, "tradeintensity_tc_z": _z(n, mean, std)}
 
 
-def _tradeflow(df):
+def _tradeflow():
     signed, size = F.sum("signed").over(so_far(_w())), F.sum("size").over(so_far(_w()))
-    return df.withColumns({"tradeflow_ofi_session": ratio(signed, size), "tradeflow_ofi_1m": ratio(F.col("signed"), F.col("size"))})
+    return {"tradeflow_ofi_session": ratio(signed, size), "tradeflow_ofi_1m": ratio(F.col("signed"), F.col("size"))}
 
 
-def _quotespread(df):
+def _quotespread():
     bid, ask, bs, as_, mid = (F.col(f"q_{x}") for x in ("bid", "ask", "bid_size", "ask_size", "mid"))
     micro = (ask * bs + bid * as_) / (bs + as_)
     deep = (mid > 0) & (bs + as_ > 0)
-    return df.withColumns({
+    return {
         "quotespread_spread_bps": F.when(mid > 0, (ask - bid) / mid * 1e4), "quotespread_imbalance": F.when(deep, (bs - as_) / (bs + as_)),
         "quotespread_microprice_dist": F.when(deep, micro / mid - 1),
-    })
+    }
 
 
-def _quotedyn(df):
+def _quotedyn():
     e = F.col("_spread_ewma")
-    return df.withColumns({"quotedyn_spread_ewma_bps": F.when(e > 0, e), "quotedyn_spread_ratio": ratio(F.col("_last_spread"), e)})
+    return {"quotedyn_spread_ewma_bps": F.when(e > 0, e), "quotedyn_spread_ratio": ratio(F.col("_last_spread"), e)}
 
 
-def _trademicro(df):
+def _trademicro():
     n, size, notional = F.col("n_trades").cast("double"), F.col("size"), F.col("notional")
     some = size > 0
-    return df.withColumns({
+    return {
         "trademicro_n_trades": F.when(some, n).otherwise(0.0), "trademicro_avg_size": F.when(some, size / n),
-        "trademicro_vwap_dist": F.when(some & (notional > 0), F.col("close") / (notional / size) - 1),
+        "trademicro_vwap_dist": F.when(some & (notional > 0), _close() / (notional / size) - 1),
         "trademicro_signed_frac": F.when(some, F.col("signed") / size), "trademicro_top_size_frac": F.when(some, F.col("top") / size),
-    })
+    }
 
 
-def _quotemicro(df):
+def _quotemicro():
     n, time = F.col("n_quotes"), F.col("time")
     timed, some = time > 0, n > 0
-    return df.withColumns({
+    return {
         "quotemicro_n_quotes": n.cast("double"),
         "quotemicro_twa_spread_bps": F.when(some, F.when(timed, F.col("spread_time") / time).otherwise(F.col("end_spread"))),
         "quotemicro_twa_imbalance": F.when(some, F.when(timed, F.col("imb_time") / time).otherwise(F.col("end_imb"))),
         "quotemicro_spread_range_bps": F.when(some, F.when(timed, F.col("max_spread") - F.col("min_spread")).otherwise(0.0)),
-    })
+    }
 
 
-def _flowfreq(df):
+def _flowfreq():
     prior = _w().rowsBetween(-20, -1)
     out = {}
     for name, x in (("trade", F.col("n_trades").cast("double")), ("quote", F.col("n_all_quotes").cast("double"))):
         mean, std = F.avg(x).over(prior), F.when(F.count(x).over(prior) >= 2, F.stddev_pop(x).over(prior))
         out[f"flowfreq_{name}_rate_z"] = _z(x, mean, std)
     out["flowfreq_trade_quote_ratio"] = ratio(F.col("n_trades").cast("double"), F.col("n_all_quotes").cast("double"))
-    return df.withColumns(out)
+    return out
+
+
+Columns = Callable[[], dict[str, Column]]
 
 
 @dataclass(frozen=True)
 class FeatureGroup:
-    """A named group of columns and what adds them to the bar table (``{name}_{column}``)."""
+    """A named group of columns (``{name}_{column}``), declared by level so that all groups share the windows of a level.
+
+    Level 1: helper columns over the bar table, then exponential means of them; level 2: the same over those; last the
+    columns themselves.  Means and helpers of one name are shared between groups.
+    """
 
     name: str
     columns: tuple[str, ...]
-    build: Callable[[DataFrame], DataFrame]
+    final: Columns
+    pre: Columns | None = None
+    means: dict[str, tuple[str, int]] = field(default_factory=dict)
+    pre2: Columns | None = None
+    means2: dict[str, tuple[str, int]] = field(default_factory=dict)
     version: str = VERSION
 
     def names(self) -> list[str]:
@@ -275,19 +303,36 @@ def register(group: FeatureGroup) -> FeatureGroup:
     return group
 
 
+_LEVELS: dict[str, dict] = {
+    "ema": {"means": {f"ema_ema_{n}": ("close", n) for n in EMA_SPANS}},
+    "macd": {"means": {"_fast": ("close", 12), "_slow": ("close", 26)}, "pre2": _macd_pre, "means2": {"macd_signal": ("macd_macd", SIGNAL_SPAN)}},
+    "momentum": {"pre": _r1_pre},
+    "rsi": {"pre": _rsi_pre, "means": {"_g": ("_gain", RSI_SPAN), "_l": ("_loss", RSI_SPAN)}},
+    "vol": {"pre": _r1_pre, "pre2": _seq_pre},
+    "rvol": {"pre": _r1_pre, "pre2": _seq_pre},
+    "atr": {"pre": _atr_pre},
+}
 for _name in GROUPS:
-    register(FeatureGroup(_name, GROUPS[_name], globals()[f"_{_name}"]))
+    register(FeatureGroup(_name, GROUPS[_name], globals()[f"_{_name}"], **_LEVELS.get(_name, {})))
 
 
 def compute(bars: DataFrame, trades: DataFrame | None = None, quotes: DataFrame | None = None, groups: Iterable[str] | None = None, order: str = "replay") -> DataFrame:
     """ticker, ts_ns and the features of the groups (all by default), one row a bar; missing is NULL."""
-    chosen = list(groups) if groups is not None else list(REGISTRY)
+    chosen = [REGISTRY[g] for g in (groups if groups is not None else REGISTRY)]
     df = bar_table(bars, trades, quotes, order)
-    names: list[str] = []
+    for pre, means in (("pre", "means"), ("pre2", "means2")):
+        helpers, specs = {}, {}
+        for g in chosen:
+            helpers |= getattr(g, pre)() if getattr(g, pre) else {}
+            specs |= getattr(g, means)
+        if helpers:
+            df = df.withColumns(helpers)
+        if specs:
+            df = kernels.with_ewma(df, specs, KEYS, ["bar_idx"], "chunk")
+    last = {}
     for g in chosen:
-        df = REGISTRY[g].build(df)
-        names += REGISTRY[g].names()
-    return df.select("ticker", "ts_ns", *names)
+        last |= g.final()
+    return df.withColumns(last).select("ticker", "ts_ns", *(n for g in chosen for n in g.names()))
 
 
 def project(features: DataFrame, names: Iterable[str]) -> DataFrame:
