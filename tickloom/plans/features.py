@@ -90,8 +90,12 @@ def _past(n: int) -> Column:
     return F.lag("close", n).over(_w())
 
 
+def _returns_rolls():
+    return {f"_p{n}": _past(n) for n in (1, 2, 5, 15, 30)}
+
+
 def _returns():
-    return {f"returns_r_{n}": _change(_close(), _past(n)) for n in (1, 2, 5, 15, 30)}
+    return {f"returns_r_{n}": _change(_close(), F.col(f"_p{n}")) for n in (1, 2, 5, 15, 30)}
 
 
 def _ema():
@@ -106,13 +110,20 @@ def _macd():
     return {"macd_hist": F.col("macd_macd") - F.col("macd_signal")}
 
 
+def _momentum_rolls():
+    return {"_p10": _past(10), "_pr1": F.lag("_r1").over(_w())}
+
+
 def _momentum():
-    return {"momentum_roc_10": _change(_close(), _past(10)), "momentum_accel": F.col("_r1") - F.lag("_r1").over(_w())}
+    return {"momentum_roc_10": _change(_close(), F.col("_p10")), "momentum_accel": F.col("_r1") - F.col("_pr1")}
+
+
+def _gap_rolls():
+    return {"_o0": F.first("open", ignorenulls=True).over(so_far(_w())), "_top": F.max("high").over(so_far(_w()))}
 
 
 def _gap():
-    first, top = F.first("open", ignorenulls=True).over(so_far(_w())), F.max("high").over(so_far(_w()))
-    return {"gap_from_open": _change(_close(), first), "gap_high_from_open": _change(top, first)}
+    return {"gap_from_open": _change(_close(), F.col("_o0")), "gap_high_from_open": _change(F.col("_top"), F.col("_o0"))}
 
 
 def _candle():
@@ -125,23 +136,36 @@ def _candle():
     return {"candle_body": part(F.abs(c - o)), "candle_upper_wick": part(h - F.greatest(o, c)), "candle_lower_wick": part(F.least(o, c) - low)}
 
 
+def _sessionrange_rolls():
+    return {"_top": F.max("high").over(so_far(_w())), "_bottom": F.min("low").over(so_far(_w()))}
+
+
 def _sessionrange():
-    top, bottom = F.max("high").over(so_far(_w())), F.min("low").over(so_far(_w()))
+    top, bottom = F.col("_top"), F.col("_bottom")
     span = top - bottom
     pct = F.when(span > 0, F.when(bottom > 0, span / bottom)).otherwise(0.0)
     return {"sessionrange_pos": F.when(span > 0, (_close() - bottom) / span).otherwise(0.5), "sessionrange_range_pct": pct}
 
 
+def _rollrange_rolls():
+    tops = {f"_top{n}": rolling_max(F.col("high"), _w(), n) for n in (15, 60)}
+    return tops | {f"_bottom{n}": rolling_min(F.col("low"), _w(), n) for n in (15, 60)}
+
+
 def _rollrange():
     out = {}
     for n in (15, 60):
-        top, bottom = rolling_max(F.col("high"), _w(), n), rolling_min(F.col("low"), _w(), n)
+        top, bottom = F.col(f"_top{n}"), F.col(f"_bottom{n}")
         out[f"rollrange_pos_{n}"] = F.when(top - bottom > 0, (_close() - bottom) / (top - bottom)).otherwise(0.5)
     return out
 
 
-def _rsi_pre():
-    move = _close() - _past(1)
+def _last_pre():
+    return {"_last": _past(1)}
+
+
+def _rsi_moves():
+    move = _close() - F.col("_last")
     return {"_gain": F.when(move.isNotNull(), F.greatest(move, F.lit(0.0))), "_loss": F.when(move.isNotNull(), F.greatest(-move, F.lit(0.0)))}
 
 
@@ -160,7 +184,7 @@ def _sessionclock():
 
 
 def _r1_pre():
-    return {"_r1": _change(_close(), _past(1))}
+    return {"_r1": _change(_close(), F.col("_last"))}
 
 
 def _seq_pre():
@@ -180,7 +204,7 @@ def _rvol():
 
 
 def _atr_pre():
-    h, low, past = F.col("high"), F.col("low"), _past(1)
+    h, low, past = F.col("high"), F.col("low"), F.col("_last")
     return {"_tr": F.greatest(h - low, F.abs(h - past), F.abs(low - past))}
 
 
@@ -188,10 +212,13 @@ def _atr():
     return {f"atr_atr_{n}": rolling_mean(F.col("_tr"), _w(), n) for n in (5, 14)}
 
 
+def _boll_rolls():
+    f = last_n(_w(), 20)
+    return {"_c20": F.avg("close").over(f), "_s20": F.stddev_pop("close").over(f), "_n20": F.count("close").over(f)}
+
+
 def _boll():
-    c = _close()
-    mean, std = rolling_mean(c, _w(), 20), rolling_std(c, _w(), 20)
-    warm = F.count("close").over(last_n(_w(), 20)) == 20
+    c, mean, std, warm = _close(), F.col("_c20"), F.col("_s20"), F.col("_n20") == 20
     good = (std > 0) & (mean > 0)
     return {
         "boll_pct_b": F.when(warm, F.when(good, (c - (mean - 2 * std)) / (4 * std)).otherwise(0.5)),
@@ -199,27 +226,41 @@ def _boll():
     }
 
 
-def _vwap():
+def _vwap_rolls():
     typical = (F.col("high") + F.col("low") + F.col("close")) / 3
-    level = ratio(F.sum(typical * F.col("volume")).over(so_far(_w())), F.sum("volume").over(so_far(_w())))
+    return {"_pv": F.sum(typical * F.col("volume")).over(so_far(_w())), "_cv": F.sum("volume").over(so_far(_w()))}
+
+
+def _vwap():
+    level = ratio(F.col("_pv"), F.col("_cv"))
     return {"vwap_level": level, "vwap_dist": _change(_close(), level)}
 
 
-def _volprofile():
+def _volprofile_rolls():
     v = F.col("volume")
-    mean, std = rolling_mean(v, _w(), 20), rolling_std(v, _w(), 20)
-    return {"volprofile_rel_vol": ratio(v, mean), "volprofile_vol_z": _z(v, mean, std), "volprofile_cum_vol": F.sum(v).over(so_far(_w()))}
+    return {"_v20": rolling_mean(v, _w(), 20), "_vs20": rolling_std(v, _w(), 20), "_cv": F.sum("volume").over(so_far(_w()))}
 
 
-def _tradeintensity():
+def _volprofile():
+    v, mean = F.col("volume"), F.col("_v20")
+    return {"volprofile_rel_vol": ratio(v, mean), "volprofile_vol_z": _z(v, mean, F.col("_vs20")), "volprofile_cum_vol": F.col("_cv")}
+
+
+def _tradeintensity_rolls():
     n = F.col("trade_count").cast("double")
-    mean, std = rolling_mean(n, _w(), 15), rolling_std(n, _w(), 15)
-    return {"tradeintensity_tc_mean": mean, "tradeintensity_tc_z": _z(n, mean, std)}
+    return {"_t15": rolling_mean(n, _w(), 15), "_ts15": rolling_std(n, _w(), 15)}
+
+
+def _tradeintensity():
+    return {"tradeintensity_tc_mean": F.col("_t15"), "tradeintensity_tc_z": _z(F.col("trade_count").cast("double"), F.col("_t15"), F.col("_ts15"))}
+
+
+def _tradeflow_rolls():
+    return {"_signed": F.sum("signed").over(so_far(_w())), "_size": F.sum("size").over(so_far(_w()))}
 
 
 def _tradeflow():
-    signed, size = F.sum("signed").over(so_far(_w())), F.sum("size").over(so_far(_w()))
-    return {"tradeflow_ofi_session": ratio(signed, size), "tradeflow_ofi_1m": ratio(F.col("signed"), F.col("size"))}
+    return {"tradeflow_ofi_session": ratio(F.col("_signed"), F.col("_size")), "tradeflow_ofi_1m": ratio(F.col("signed"), F.col("size"))}
 
 
 def _quotespread():
@@ -258,12 +299,18 @@ def _quotemicro():
     }
 
 
-def _flowfreq():
+def _flowfreq_rolls():
     prior = _w().rowsBetween(-20, -1)
+    out = {"_prior": F.count(F.lit(1)).over(prior)}
+    for name, x in (("trade", "n_trades"), ("quote", "n_all_quotes")):
+        out |= {f"_m_{name}": F.avg(x).over(prior), f"_s_{name}": F.stddev_pop(x).over(prior)}
+    return out
+
+
+def _flowfreq():
     out = {}
     for name, x in (("trade", F.col("n_trades").cast("double")), ("quote", F.col("n_all_quotes").cast("double"))):
-        mean, std = F.avg(x).over(prior), F.when(F.count(x).over(prior) >= 2, F.stddev_pop(x).over(prior))
-        out[f"flowfreq_{name}_rate_z"] = _z(x, mean, std)
+        out[f"flowfreq_{name}_rate_z"] = F.when(F.col("_prior") >= 2, _z(x, F.col(f"_m_{name}"), F.col(f"_s_{name}")))
     out["flowfreq_trade_quote_ratio"] = ratio(F.col("n_trades").cast("double"), F.col("n_all_quotes").cast("double"))
     return out
 
@@ -275,17 +322,20 @@ Columns = Callable[[], dict[str, Column]]
 class FeatureGroup:
     """A named group of columns (``{name}_{column}``), declared by level so that all groups share the windows of a level.
 
-    Level 1: helper columns over the bar table, then exponential means of them; level 2: the same over those; last the
+    base: columns that helpers share.  Level 1: helper columns over the bar table, then exponential means of them; level 2: the same over those; then rolls,
+    window columns that several expressions use (Spark evaluates each occurrence of a window expression); last the
     columns themselves.  Means and helpers of one name are shared between groups.
     """
 
     name: str
     columns: tuple[str, ...]
     final: Columns
+    base: Columns | None = None
     pre: Columns | None = None
     means: dict[str, tuple[str, int]] = field(default_factory=dict)
     pre2: Columns | None = None
     means2: dict[str, tuple[str, int]] = field(default_factory=dict)
+    rolls: Columns | None = None
     version: str = VERSION
 
     def names(self) -> list[str]:
@@ -306,32 +356,35 @@ def register(group: FeatureGroup) -> FeatureGroup:
 _LEVELS: dict[str, dict] = {
     "ema": {"means": {f"ema_ema_{n}": ("close", n) for n in EMA_SPANS}},
     "macd": {"means": {"_fast": ("close", 12), "_slow": ("close", 26)}, "pre2": _macd_pre, "means2": {"macd_signal": ("macd_macd", SIGNAL_SPAN)}},
-    "momentum": {"pre": _r1_pre},
-    "rsi": {"pre": _rsi_pre, "means": {"_g": ("_gain", RSI_SPAN), "_l": ("_loss", RSI_SPAN)}},
-    "vol": {"pre": _r1_pre, "pre2": _seq_pre},
-    "rvol": {"pre": _r1_pre, "pre2": _seq_pre},
-    "atr": {"pre": _atr_pre},
+    "momentum": {"base": _last_pre, "pre": _r1_pre},
+    "rsi": {"base": _last_pre, "pre": _rsi_moves, "means": {"_g": ("_gain", RSI_SPAN), "_l": ("_loss", RSI_SPAN)}},
+    "vol": {"base": _last_pre, "pre": _r1_pre, "pre2": _seq_pre},
+    "rvol": {"base": _last_pre, "pre": _r1_pre, "pre2": _seq_pre},
+    "atr": {"base": _last_pre, "pre": _atr_pre},
 }
 for _name in GROUPS:
-    register(FeatureGroup(_name, GROUPS[_name], globals()[f"_{_name}"], **_LEVELS.get(_name, {})))
+    register(FeatureGroup(_name, GROUPS[_name], globals()[f"_{_name}"], rolls=globals().get(f"_{_name}_rolls"), **_LEVELS.get(_name, {})))
 
 
 def compute(bars: DataFrame, trades: DataFrame | None = None, quotes: DataFrame | None = None, groups: Iterable[str] | None = None, order: str = "replay") -> DataFrame:
     """ticker, ts_ns and the features of the groups (all by default), one row a bar; missing is NULL."""
     chosen = [REGISTRY[g] for g in (groups if groups is not None else REGISTRY)]
     df = bar_table(bars, trades, quotes, order)
-    for pre, means in (("pre", "means"), ("pre2", "means2")):
+    for pre, means in (("base", None), ("pre", "means"), ("pre2", "means2")):
         helpers, specs = {}, {}
         for g in chosen:
             helpers |= getattr(g, pre)() if getattr(g, pre) else {}
-            specs |= getattr(g, means)
+            specs |= getattr(g, means) if means else {}
         if helpers:
             df = df.withColumns(helpers)
         if specs:
             df = kernels.with_ewma(df, specs, KEYS, ["bar_idx"], "chunk")
-    last = {}
+    rolls, last = {}, {}
     for g in chosen:
+        rolls |= g.rolls() if g.rolls else {}
         last |= g.final()
+    if rolls:
+        df = df.withColumns(rolls)
     return df.withColumns(last).select("ticker", "ts_ns", *(n for g in chosen for n in g.names()))
 
 
