@@ -139,6 +139,15 @@ def test_fingerprints_match_brute_force(documents):
     assert fingerprint.compare_with_next(documents([(5, "alone here")])).first().near_next == 1.0
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 5, 30])
+def test_ranges_count_the_edges_below(spark, n):
+    from pyspark.sql import functions as F
+
+    edges = [3 * i for i in range(n)]
+    df = spark.range(-1, 3 * n + 2).select("id", fingerprint._edges_below(F.col("id"), edges).alias("k"))
+    assert all(r.k == sum(e < r.id for e in edges) for r in df.collect())
+
+
 def test_collision_rate_is_generalised_jaccard():
     rng = random.Random(8)
     errors = []

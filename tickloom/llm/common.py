@@ -22,9 +22,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it back, so that lost executors never cost its lineage."""
+    """Write df as a table in the shared folder and read it back, so that lost executors never cost its lineage.
+
+    Tables lie in a folder of the application, which may be removed when it has ended.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

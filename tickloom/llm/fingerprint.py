@@ -24,13 +24,14 @@ next one; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import shard_keys, table, text_of
@@ -155,6 +156,17 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
 
+def _edges_below(key: Column, edges: list[int]) -> Column:
+    """How many of the sorted edges are below key, in two steps of about the square root of their number."""
+    if not edges:
+        return F.lit(0)
+    step = math.isqrt(len(edges) - 1) + 1
+    groups = [edges[i : i + step] for i in range(0, len(edges), step)]
+    c = F.size(F.filter(F.array(*(F.lit(g[0]) for g in groups)), lambda e: e < key))
+    group = F.element_at(F.array(*(F.array(*map(F.lit, g)) for g in groups)), F.greatest(c, F.lit(1)))
+    return F.when(c == 0, 0).otherwise((c - 1) * step + F.size(F.filter(group, lambda e: e < key)))
+
+
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness, in the columns of COMPARED."""
     spark = docs.sparkSession
@@ -165,8 +177,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     shares = [(j + 1) / n for j in range(n - 1)]
     edges = sorted(set(d.select(key.alias("key")).agg(F.percentile_approx("key", F.array(*map(F.lit, shares)), 20 * n)).first()[0] or [])) if n > 1 else []
     # range j holds the keys up to edges[j]
-    index = F.lit(len(edges)) if not edges else F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < key))
-    d = d.withColumn("key", key).withColumn("range", index.cast("int"))
+    d = d.withColumn("key", key).withColumn("range", _edges_below(key, edges).cast("int"))
     heads = {r["range"]: r["key"] for r in d.groupBy("range").agg(F.max("key").alias("key")).collect()}  # a row a range
     used = sorted(heads)
     # the first document of a range follows the last one of the next higher range, and the very first that of the lowest
