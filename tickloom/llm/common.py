@@ -89,9 +89,10 @@ def small_join(rows: DataFrame, groups: DataFrame, key: str, most: int = 10_000)
     return rows.join(F.broadcast(groups) if groups.count() <= most else groups, key, "left")
 
 
-def shard_keys(spark: SparkSession) -> list[int]:
-    """One long for each shuffle partition, which repartition(n, key) deals to that partition."""
+def shard_keys(spark: SparkSession, per_shard: int = 1) -> list[int]:
+    """Longs that repartition(len, key) deals to a partition each: one for so many shuffle partitions, 8 at least."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(min(n, 8), n // per_shard)
     to = F.pmod(F.hash("id"), F.lit(n))
     rows = spark.range(0, 40 * n + 200).groupBy(to.alias("to")).agg(F.min("id").alias("id")).collect()
     return sorted(r["id"] for r in rows)
