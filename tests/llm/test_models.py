@@ -235,3 +235,37 @@ def test_pipeline_matches_brute_force(spark, documents, tmp_path):
     rows = corpus_pipeline.run(spark, sf).collect()
     digest = lambda rs: hashlib.sha256(str(sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in rs)).encode()).hexdigest()
     assert digest(rows) == digest(docs.collect())
+
+
+def test_letter_gibberish_is_rejected(spark, documents):
+    rng = random.Random(8)
+
+    def text(rare):
+        return " ".join(rng.choice(WORDS) if rng.random() < 0.5 else rare() for _ in range(80))
+
+    def word():
+        return "".join(rng.choice(WORDS) for _ in range(3))
+
+    def letters():
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(len(word())))
+
+    texts = [(i, text(word)) for i in range(350)]  # the last 50 aren't trusted
+    texts += [(1000 + i, text(letters)) for i in range(50)] + [(2000 + i, " ".join(letters() for _ in range(200))) for i in range(50)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    rows = quality_lm.decide(documents(texts, langs={i: "en" for i, _ in texts}), labels).collect()
+    kept = {r.doc_id for r in rows if r.keep}
+    assert not [i for i in kept if i >= 1000]
+    assert len([i for i in kept if 300 <= i < 350]) >= 48 and len([i for i in kept if i < 300]) >= 297
+
+
+def test_spelling_is_a_distribution_and_leaves_own_counts_out():
+    keys, counts = np.unique(quality_lm.four_grams([*WORDS, *WORDS[:9], "Été", "42", "!?"])[0], return_counts=True)
+    m = quality_lm.Spelling(keys, counts)
+    start = quality_lm.spelt("x")[:3]
+    for head in (start, start[:2] + b"b", b"sil", b"qqq", b"qba"):
+        p = np.exp(m.log_prob(np.array([int.from_bytes(head + bytes([b])) for b in range(256)], np.uint32)))
+        assert p.min() > 0 and p.sum() == pytest.approx(1)
+    free, own = m.tokens(["bata", "marsil"]), m.tokens(["bata", "marsil"], {"bata"})
+    assert own[0] < free[0] and m.tokens(["bat"])[0] > m.tokens(["xqz"])[0]
+    assert np.allclose(m.tokens(["bata"]), free[:1]) and len(m.tokens([])) == 0
+    assert quality_lm.Spelling(keys[:0], counts[:0]).tokens(["ab"])[0] == pytest.approx(-3 * math.log(256))
