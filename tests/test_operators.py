@@ -142,6 +142,41 @@ def test_stream_agrees_with_the_batch(spark, tmp_path):
         assert all((mine[c] is None) if r[c] is None else mine[c] == pytest.approx(r[c]) for c in r.asDict())
 
 
+def test_stream_with_ticks_agrees_with_the_batch(spark, tmp_path):
+    from tickloom.schema import BARS, QUOTES, TRADES
+    from tickloom.sources.simulation import Simulation, simulate
+
+    frames = dict(zip(("bars", "trades", "quotes"), simulate(spark, Simulation(minutes=9))))
+    schemas, streams = {"bars": BARS, "trades": TRADES, "quotes": QUOTES}, {}
+    for kind, schema in schemas.items():
+        frames[kind] = spark.createDataFrame(frames[kind].drop("seq").collect(), schema)
+        late = 1 if kind == "trades" else 0  # trades come a batch after their bars; one trade comes twice
+        for k in range(3):
+            rows = frames[kind].where(F.floor((F.col("ts_ns") - OPEN_NS) / MIN / 3) == k - late)
+            rows.coalesce(1).write.mode("append").parquet(str(tmp_path / kind))
+        if late:
+            rows = frames[kind].where(F.col("ts_ns") >= OPEN_NS + 6 * MIN)
+            twice = rows.unionByName(rows.limit(1))
+            twice.coalesce(1).write.mode("append").parquet(str(tmp_path / kind))
+            frames[kind] = spark.createDataFrame([*frames[kind].collect(), *rows.limit(1).collect()], schema)
+        streams[kind] = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / kind))
+    raw, store = stores.RawStore(spark, str(tmp_path / "raw")), stores.FeatureStore(spark, str(tmp_path / "features"))
+    live.run_live(streams["bars"], raw, store, str(tmp_path / "ck"), trades=streams["trades"], quotes=streams["quotes"]).awaitTermination()
+    for kind in schemas:
+        assert sorted(raw.read(kind).drop("date").collect()) == sorted(frames[kind].collect())
+    again = frames["trades"].limit(2).withColumn("kind", F.lit("trades"))
+    for _ in range(2):  # a batch that runs again
+        live.apply_batch(again, 9, raw, store, "r")
+    assert raw.read("trades").count() == frames["trades"].count() + 2
+    more = spark.createDataFrame([*frames["trades"].collect(), *frames["trades"].limit(2).collect()], TRADES)
+    got = {(r.ticker, r.ts_ns): r for r in store.read().collect()}
+    want = features.compute(frames["bars"], more, frames["quotes"]).collect()
+    assert len(got) == len(want) == 18 and all(r.trademicro_n_trades and r.quotemicro_n_quotes for r in want)
+    for r in want:
+        mine = got[r.ticker, r.ts_ns]
+        assert all((mine[c] is None) if r[c] is None else mine[c] == pytest.approx(r[c]) for c in r.asDict())
+
+
 def test_streamed_bars(spark, tmp_path):
     from tickloom.schema import TRADES
 

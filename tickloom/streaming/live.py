@@ -1,19 +1,22 @@
 """Live processing with Structured Streaming.
 
-``run_live`` appends each micro-batch of raw rows and recomputes the sessions it touches with the batch plan, so a
+``run_live`` appends each micro-batch of raw bars, trades and quotes and recomputes the sessions it touches with the batch plan, so a
 stream and a backfill agree by construction; late rows of an earlier session only touch that session.
 ``build_bars`` makes minute bars from a stream of trades under a watermark.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tickloom.functions import clock
 from tickloom.plans import features
-from tickloom.sources.stores import FeatureStore, RawStore
+from tickloom.sources.stores import FeatureStore, RawStore, _exists
 
 
 def build_bars(trades: DataFrame, late: str = "2 minutes") -> DataFrame:
@@ -30,23 +33,60 @@ def build_bars(trades: DataFrame, late: str = "2 minutes") -> DataFrame:
     )
 
 
-def apply_batch(batch: DataFrame, batch_id: int, raw: RawStore, store: FeatureStore) -> None:
-    """Store a micro-batch of bars and rewrite the features of the days that it touches."""
+def _add(raw: RawStore, kind: str, rows: DataFrame, days: list[str], held: str) -> None:
+    """Add rows to the raw store.  A batch that runs again finds what it held and adds nothing twice."""
+    spark = raw.spark
+    if not _exists(spark, f"{held}/_SUCCESS"):
+        known = raw.read(kind, days).drop("date")
+        both = known.unionByName(rows.select(*known.columns))
+        if kind == "bars":  # equal ticks are different ticks
+            both = both.dropDuplicates(["ticker", "ts_ns"])
+        both.write.mode("overwrite").parquet(held)  # a partition can't be read and replaced in one job
+    raw.write(kind, spark.read.parquet(held))
+
+
+def apply_batch(batch: DataFrame, batch_id: int, raw: RawStore, store: FeatureStore, run: str | None = None) -> None:
+    """Store a micro-batch and rewrite the features of the sessions that it touches, from all the raw rows of their days.
+
+    batch: rows of the kinds of the raw store, told by a column kind; without one they are bars.
+    run: names the stream, if a batch of it that is given again is to count once.
+    """
     spark = batch.sparkSession
-    days = [r[0] for r in batch.select(clock.session_date(F.col("ts_ns")).cast("string")).distinct().collect()]  # few
-    if not days:
-        return
-    known = raw.read("bars", days).drop("date")
-    both = known.unionByName(batch.select(*known.columns)).dropDuplicates(["ticker", "ts_ns"])
-    held = f"{raw.root}/_pending/{batch_id}"
-    both.write.mode("overwrite").parquet(held)  # a partition can't be read and replaced in one job
-    both = spark.read.parquet(held)
-    raw.write("bars", both)
-    touched = both.join(F.broadcast(batch.select("ticker").distinct()), "ticker", "left_semi") if batch.count() < 1_000_000 else both
-    store.write(features.compute(touched), "stream", write_seq=batch_id)
-
-
-def run_live(bars: DataFrame, raw: RawStore, store: FeatureStore, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Start the live job on a stream of bars."""
-    writer = bars.writeStream.foreachBatch(lambda df, i: apply_batch(df, i, raw, store)).option("checkpointLocation", checkpoint)
+    if "kind" not in batch.columns:
+        batch = batch.withColumn("kind", F.lit("bars"))
+    batch = batch.persist()
+    try:
+        days = [r[0] for r in batch.select(clock.session_date(F.col("ts_ns")).cast("string")).distinct().collect()]  # few
+        if not days:
+            return
+        pending = f"{raw.root}/_pending/{run or uuid.uuid4().hex}"
+        for r in batch.select("kind").distinct().collect():
+            _add(raw, r["kind"], batch.where(F.col("kind") == r["kind"]), days, f"{pending}/{batch_id}/{r['kind']}")
+        tickers = F.broadcast(batch.select("ticker").distinct()) if batch.count() < 1_000_000 else None
+        rows = [df if tickers is None else df.join(tickers, "ticker", "left_semi") for df in raw.replay(days)]
+        store.write(features.compute(*rows), "stream", write_seq=batch_id)
+        _delete(spark, f"{pending}/{batch_id - 1}" if run else pending)
+    finally:
+        batch.unpersist()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def run_live(
+    bars: DataFrame, raw: RawStore, store: FeatureStore, checkpoint: str, available_now: bool = True, trades: DataFrame | None = None, quotes: DataFrame | None = None
+) -> StreamingQuery:
+    """Start the live job on streams of bars and, if given, trades and quotes."""
+    rows = bars.withColumn("kind", F.lit("bars"))
+    for kind, df in (("trades", trades), ("quotes", quotes)):
+        if df is not None:
+            rows = rows.unionByName(df.withColumn("kind", F.lit(kind)), allowMissingColumns=True)
+
+    def apply(df: DataFrame, i: int) -> None:
+        run = json.loads(df.sparkSession.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+        apply_batch(df, i, raw, store, run)
+
+    writer = rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 second")).start()
