@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tickloom.llm import byte_bpe, pii, quality_lm, toxicity
 
@@ -269,3 +270,10 @@ def test_spelling_is_a_distribution_and_leaves_own_counts_out():
     assert own[0] < free[0] and m.tokens(["bat"])[0] > m.tokens(["xqz"])[0]
     assert np.allclose(m.tokens(["bata"]), free[:1]) and len(m.tokens([])) == 0
     assert quality_lm.Spelling(keys[:0], counts[:0]).tokens(["ab"])[0] == pytest.approx(-3 * math.log(256))
+
+
+def test_long_secrets_go_whole(spark):
+    secret = "Ab3" * 70
+    df = spark.createDataFrame([(f'login config\ntoken = "{secret}" end',)], "text string")
+    found = df.select(pii.found(F.col("text"), pii.SECRET).alias("x")).first()["x"]
+    assert [x["s"] for x in found] == [f'token = "{secret}"']

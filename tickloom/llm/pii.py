@@ -39,7 +39,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 # Looser ones.
 SPELT_EMAIL = r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{2,64} ?[\[(]? ?at ?[\])]? ?[a-z0-9-]{2,63} ?[\[(] ?dot ?[\])] ?[a-z]{2,10}"
 LOCAL_PHONE = r"(?<![0-9+.-])(?<!\+[0-9] )(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])"
-SECRET = r"""(?i)(?:token|secret|password|passwd|api[_-]?key|access[_-]?key) ?[=:] ?["']?[A-Za-z0-9+/_-]{16,128}["']?"""
+SECRET = r"""(?i)(?:token|secret|password|passwd|api[_-]?key|access[_-]?key) ?[=:] ?["']?[A-Za-z0-9+/_-]{16,}+["']?"""
 
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])){3}$"
 #: Gazetteers.
