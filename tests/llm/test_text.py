@@ -158,3 +158,10 @@ def test_collision_rate_is_generalised_jaccard():
         true = sum(min(a.get(k, 0), b.get(k, 0)) for k in keys) / sum(max(a.get(k, 0), b.get(k, 0)) for k in keys)
         errors.append(fingerprint.likeness(s.signature(a), s.signature(b)) - true)
     assert abs(np.mean(errors)) < 0.015 and np.std(errors) < 0.06
+
+
+def test_rules_of_very_many_lengths_all_fit(spark):
+    rules = spark.range(12_000).selectExpr("'a.com' rule_host", "'/' || repeat('x', cast(id as int)) rule_path", "'block' rule_verdict")
+    parts = spark.range(200).selectExpr("id page_id", "'a.com' host", "'/' || repeat('x', cast(id as int)) path")
+    rows = url_filter.judge_by_join(parts, rules).collect()
+    assert len(rows) == 200 and all(r.rule == r.host + r.path for r in rows)

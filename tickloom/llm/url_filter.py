@@ -164,13 +164,16 @@ def judge_pages(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str
 
 def judge_by_join(parts: DataFrame, rules: DataFrame) -> DataFrame:
     """The same verdicts by a shuffled join of candidate keys, for rule lists of any size."""
-    lengths = sorted(r[0] for r in rules.select(F.length("rule_path")).distinct().limit(10_000).collect())
+    longest = parts.agg(F.max(F.length("path"))).first()[0] or 0  # longer rules can't fit
+    n = F.length("rule_path")
+    lengths = sorted(r[0] for r in rules.where(n <= longest).select(n).distinct().collect())
+    known = F.split(F.lit(",".join(map(str, lengths))), ",") if lengths else F.array()
     labels = F.split("host", r"\.")
     suffixes = F.transform(
         F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), ".")
     )
     prefixes = F.transform(
-        F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("path")), lambda n: F.substring("path", F.lit(1), n)
+        F.filter(known.cast("array<int>"), lambda n: n <= F.length("path")), lambda n: F.substring("path", F.lit(1), n)
     )
     row = parts.withColumn("row", F.monotonically_increasing_id())
     keyed = row.where("host != ''").select("row", F.explode(suffixes).alias("rule_host"), prefixes.alias("p"))
