@@ -277,3 +277,9 @@ def test_long_secrets_go_whole(spark):
     df = spark.createDataFrame([(f'login config\ntoken = "{secret}" end',)], "text string")
     found = df.select(pii.found(F.col("text"), pii.SECRET).alias("x")).first()["x"]
     assert [x["s"] for x in found] == [f'token = "{secret}"']
+
+
+def test_vocabulary_counts_words_over_all_tasks(spark):
+    texts = ["common " * 99_994 + "rarely " * 6, "common " * 19_988 + "rarely " * 12]  # 18 of 120,000: more than SHARE
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartitionByRange(2, "doc_id")
+    assert "rarely" in quality_lm.vocabulary(docs).ids
