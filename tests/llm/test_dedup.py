@@ -191,3 +191,88 @@ def test_levels_stay_logarithmic_and_find_the_earliest_start():
         at += 50
         assert all(first[k] == s for k, s in zip(keys.tolist(), seen.tolist()))
         assert len(family.levels) <= 8
+
+
+def test_measured_recall_counts_the_classes_that_met_none():
+    assert near_dedup.measured_recall({}) == 0 and near_dedup.measured_recall({0: 50}) == 0
+    assert near_dedup.measured_recall({16: 100}) == 1
+    assert near_dedup.measured_recall({1: 10, 2: 5, 9: 85}) == 100 / (100 + 10)
+
+
+def test_runs_hold_their_smallest_class_at_every_depth(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    rows = sorted((int(t), bytes(v.astype(">u2").tobytes()), int(n)) for n, (t, *v) in enumerate(np.column_stack([rng.integers(0, 2, 900), rng.integers(0, 3, (900, near_dedup.DEPTH))])) for v in [np.array(v)])
+
+    def batches():
+        for a in range(0, 900, 70):
+            part = rows[a : a + 70]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int32()), pa.array([r[1] for r in part], pa.binary()), pa.array([r[2] for r in part], pa.int64())], ["tree", "prefix", "node"])
+
+    for slab in (10**6, 100):
+        monkeypatch.setattr(near_dedup, "SLAB", slab)
+        out = [r for b in near_dedup._runs(batches(), 2) for r in b.to_pylist()]
+        for i, d in enumerate(range(2, near_dedup.DEPTH + 1)):
+            want = {}
+            for t, prefix, n in rows:
+                want.setdefault((t, prefix[: 2 * d]), []).append(n)
+            best = {}
+            for r in out:  # pieces of a run that slabs cut meet by their label
+                if r["depth"] == d:
+                    best[r["label"]] = min(best.get(r["label"], 10**9), r["node"])
+            ends = {r["node"]: best[r["label"]] for r in out if r["depth"] == d}
+            heads = {(r["node"], ends.get(r["heads"][i], r["heads"][i])) for r in out if r["heads"] and r["heads"][i] is not None}
+            whole = {(n, min(v)) for v in want.values() if len(v) > 1 for n in v}
+            assert heads | {(n, b) for n, b in ends.items() if b != n} | {(b, b) for b in best.values()} >= whole
+            assert all(b in ns and n in ns for n, b in heads for ns in [next(v for v in want.values() if n in v)])
+
+
+def test_a_large_group_of_near_copies_loses_no_link(stored, monkeypatch):
+    monkeypatch.setattr(near_dedup, "TILE", 16)
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(500)]
+    base = [rng.choice(words) for _ in range(200)]
+    texts = []
+    for i in range(400):  # most copies are near the first, some are far from it, some drift away
+        t = list(base)
+        for _ in range(rng.choice([1, 1, 2, 2, 3, 3, 5, 6, 8])):
+            t[rng.randrange(len(t))] = rng.choice(words)
+        texts.append((i, " ".join(t[: rng.choice([200, 200, 200, 170, 140])])))
+    got = {r.doc_id: (r.class_id, r.n_links) for r in near_dedup.join_similar(stored(texts), scan=True).collect()}
+    assert got == jaccard_groups(texts)
+
+
+def test_near_duplicates_of_null_and_repeated_ids(documents):
+    rng = random.Random(2)
+    a, b = (" ".join(rng.choice(WORDS_20) for _ in range(60)) for _ in range(2))
+    rows = [(None, a), (None, a), (3, a), (3, a), (3, b), (4, b + " x"), (None, "alone here"), (9, None), (9, "")]
+    docs = documents(rows)
+    out = near_dedup.join_similar(docs).collect()
+    assert len(out) == len(rows) and {r.class_id for r in out if r.doc_id == 4} == {3}
+    assert sorted((r.n_links for r in out if r.class_id == 3)) == [1, 1, 3, 3, 3, 3]
+    kept = near_dedup.keep(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(3, a), (3, b), (None, "alone here"), (9, None)], key=str) or sorted(
+        ((r.doc_id, r.text or "") for r in kept.collect()), key=str
+    ) == sorted([(3, a), (3, b), (None, "alone here"), (9, "")], key=str)
+
+
+WORDS_20 = [f"w{k}" for k in range(200)]
+
+
+def test_components_reach_the_smallest_node(spark):
+    rng = random.Random(7)
+    edges = [(i, i + 1) for i in range(0, 300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(60)]
+    parent = {}
+
+    def find(i):
+        while parent.setdefault(i, i) != i:
+            i = parent[i]
+        return i
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    got = {r.node: r.comp for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: find(n) for e in edges if e[0] != e[1] for n in e}

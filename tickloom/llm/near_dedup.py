@@ -202,16 +202,21 @@ def forest_edges(classes: DataFrame, threshold: float = THRESHOLD, target: float
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) of every node of the edges (a, b): the smallest node that it is connected with.
 
-    Each round every node goes to its smallest neighbour's smallest neighbour, and only edges between different ones of
-    those are left, so that the members of a star are done after one round.
+    Each round every node points to its smallest neighbour, pointers are followed to their ends (each step doubles their
+    reach), and only edges between different ends are left.  An end takes in one node at least, so rounds are
+    logarithmic, too; the members of a star are done after one.
     """
     left = cut(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = None
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp"))
-        to = cut(to)
-        to = cut(to.join(to.select(F.col("node").alias("_node"), F.col("comp").alias("_comp")), F.col("comp") == F.col("_node")).select("node", F.col("_comp").alias("comp")))
+        to = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")))
+        moved = True
+        while moved:
+            next_to = to.select(F.col("node").alias("_node"), F.col("comp").alias("_comp"))
+            to = cut(to.join(next_to, F.col("comp") == F.col("_node")).select("node", F.col("_comp").alias("comp"), (F.col("comp") != F.col("_comp")).alias("moved")))
+            moved = not to.where("moved").isEmpty()
+            to = to.drop("moved")
         step = to.select(F.col("node").alias("_node"), F.col("comp").alias("_comp"))
         labels = to if labels is None else cut(labels.join(step, F.col("comp") == F.col("_node"), "left").select("node", F.coalesce("_comp", "comp").alias("comp")))
         a = left.join(step, F.col("a") == F.col("_node")).select(F.col("_comp").alias("a"), "b")
