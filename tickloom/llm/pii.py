@@ -1,26 +1,31 @@
 """Personal data by weak supervision, in DataFrame functions only.
 
-Candidates are matches of the base patterns (email, ip, card, phone; leftmost, not overlapping within a kind) and of
-looser ones (local phone numbers, spelt-out emails, secrets).  Base spans, those whose match passes its check, always
-stay.  For the rest labelers vote for (1), against (-1) or not at all (0): the base rule, a gazetteer of the kind, the
-words before the match, the characters at its edges and the make-up of its characters.  Expectation-maximisation
-(Dawid and Skene) estimates how reliable each labeler is from the counts of vote patterns alone, and its posteriors
-train the final classifier, a logistic regression over the span's own features
-(kind, size, share of digits, edges, base check).  Candidates that it puts at DECIDE or
-more become spans too, unless they overlap a base span of their kind.  A base match that fails its check stays dropped:
-it only teaches the model what impostors look like.
+Candidates are matches of the base patterns (email, ip, card, phone; leftmost, not overlapping within a kind), of
+looser ones (local phone numbers, spelt-out emails, secrets) and, inside base matches that fail their check, parts that
+pass it (a phone number with an address behind it, two card numbers in a row).  Base spans, those whose match passes its
+check, always stay.  For the rest labelers vote for (1), against (-1) or not at all (0): the base rule, a gazetteer of
+the kind, the words before the match, the characters at its edges and the make-up of its characters.  Expectation-maximisation
+(Dawid and Skene) estimates how reliable each labeler is from the counts of vote patterns alone, starting from a vote in
+which the base rule, a checksum or a range, counts WEIGHTS["rule"] times, and its posteriors train the final classifier, a logistic regression over the span's own features
+(kind, size, share of digits, edges, check).  Candidates that it puts at DECIDE or more become spans too, base matches
+that failed their check among them, unless they overlap a base span of their kind or a longer accepted candidate of it.
+``redact`` also replaces other occurrences of a found value of KNOWN code points or more in the same text: what is
+personal in one place is so where it touches other characters.
 
 Documents are read once; votes and features are cut to a table.  Only counts of vote and feature patterns, whose number
-is bounded by their definition (1,215 and 3,600), reach the driver; models come back as literals.
+is bounded by their definition (1,215 and 4,800), reach the driver; models come back as literals.
 
-Defined cases: a null or empty text has no spans; rows repeated are judged each; without candidates the classifier adds
-nothing; positions are code points, ends exclusive; columns other than id and text are not read.
+Defined cases: a null or empty text has no spans; rows repeated are judged each; an empty table gives an empty result;
+without candidates the classifier adds nothing; a text of any length is searched whole; of candidates that start alike the
+longer one stays; positions are code points, ends exclusive; columns other than id and text are not read by ``find`` and
+are kept by ``redact``, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +34,10 @@ from tickloom.llm.common import cut, table, text_of
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
 DECIDE = 0.5
+#: Ridge of the classifier.
+RIDGE = 0.05
+#: Code points of a value that redaction replaces wherever it occurs in its text.
+KNOWN = 8
 
 # The base patterns, with possessive loops and, for emails, a start only where a run of name characters starts, so
 # that long runs are passed once.  They match what the plain patterns match.
@@ -40,6 +49,11 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 SPELT_EMAIL = r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{2,64} ?[\[(]? ?at ?[\])]? ?[a-z0-9-]{2,63} ?[\[(] ?dot ?[\])] ?[a-z]{2,10}"
 LOCAL_PHONE = r"(?<![0-9+.-])(?<!\+[0-9] )(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])"
 SECRET = r"""(?i)(?:token|secret|password|passwd|api[_-]?key|access[_-]?key) ?[=:] ?["']?[A-Za-z0-9+/_-]{16,}+["']?"""
+# Parts of base matches that fail their check, between characters that aren't digits (an address has none of those).
+PARTS = {
+    "card": r"(?<![0-9])[0-9]{4}(?:[\x20-]?[0-9]{4}){3}(?:[\x20-]?[0-9]{1,3})?(?![0-9])",
+    "phone": r"\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{2,4}\)[\x20.-]?)?[0-9]{2,4}(?:[\x20.-][0-9]{2,4}){1,3}(?![0-9.])",
+}
 
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])){3}$"
 #: Gazetteers.
@@ -55,6 +69,9 @@ CONTEXT = {
 }
 AGAINST = r"(?i)(?:version|v\.|isbn|section|chapter|release|§)[^\n]{0,8}$"
 LABELERS = ("rule", "gazetteer", "context", "edges", "makeup")
+#: What the votes count in the first round.
+WEIGHTS = {"rule": 4.0, "gazetteer": 1.0, "context": 1.0, "edges": 1.0, "makeup": 1.0}
+FAILED, LOOSE, BASE, PART = range(4)
 
 
 def found(text: Column, pattern: str) -> Column:
@@ -92,19 +109,23 @@ def _vote(yes: Column, no: Column | None = None) -> Column:
     return (out.otherwise(0) if no is None else out.when(no, -1).otherwise(0)).cast("int")
 
 
-def _candidates(text: Column, kind: str, pattern: str, gate: Column, rule: int | None) -> Column:
-    """Array of candidates with votes and features where gate holds.  rule: the base rule's vote if it isn't checked."""
+def _passes(kind: str, s: Column) -> Column:
+    return {"email": lambda: F.lit(True), "ip": lambda: s.rlike(OCTETS), "card": lambda: luhn(s), "phone": lambda: n_digits(s).between(8, 15), "secret": lambda: F.lit(False)}[kind]()
+
+
+def _candidates(text: Column, kind: str, pattern: str, gate: Column, loose: bool = False) -> Column:
+    """Array of candidates with votes and features where gate holds.  loose: the pattern isn't the base one."""
     k = KINDS.index(kind)
 
-    def look(x):
+    def look(x, part=False):
         s, start = x["s"], x["start"]
         end = start + F.length(s)
         left = F.substring(text, F.greatest(start - 39, F.lit(1)), F.least(start, F.lit(40)))
         before, after = F.substring(left, -1, 1), F.substring(text, end + 1, F.lit(1))
         digits, size = n_digits(s), F.length(s)
         kinds = F.size(F.array_distinct(F.split(s, "")))
-        ok = {"email": F.lit(True), "ip": s.rlike(OCTETS), "card": luhn(s), "phone": digits.between(8, 15), "secret": F.lit(False)}[kind]
-        base = F.lit(False) if rule is not None else ok
+        judged = loose or part
+        base = F.lit(False) if judged else _passes(kind, s)
         gazetteer = {
             "email": _vote(s.rlike(DOMAINS) | F.lower(s).rlike(r"dot ?[\])]? ?(?:com|org|net|de|fr|es)$"), ~s.rlike(DOMAINS)),
             "ip": _vote(s.rlike(OCTETS) & ~s.rlike(RESERVED_IP), s.rlike(RESERVED_IP) | ~s.rlike(OCTETS)),
@@ -123,7 +144,7 @@ def _candidates(text: Column, kind: str, pattern: str, gate: Column, rule: int |
         return F.struct(
             F.lit(k).alias("kind"), start.alias("start"), end.alias("end"), base.alias("base"),
             F.struct(
-                (F.lit(rule).cast("int") if rule is not None else F.when(base, 1).otherwise(-1).cast("int")).alias("rule"),
+                (F.lit(0) if judged else F.when(base, 1).otherwise(-1)).cast("int").alias("rule"),
                 gazetteer.alias("gazetteer"),
                 _vote(left.rlike(CONTEXT[kind]), left.rlike(AGAINST)).alias("context"),
                 _vote(~before.rlike(word) & ~after.rlike(word), before.rlike(word) & after.rlike(word)).alias("edges"),
@@ -134,7 +155,7 @@ def _candidates(text: Column, kind: str, pattern: str, gate: Column, rule: int |
                 (digits * 5 / F.greatest(size, F.lit(1))).cast("int").alias("digits"),
                 F.when(F.coalesce(before.rlike(word), F.lit(False)), 1).otherwise(0).cast("int").alias("before"),
                 F.when(F.coalesce(after.rlike(word), F.lit(False)), 1).otherwise(0).cast("int").alias("after"),
-                (F.lit(rule + 1).cast("int") if rule is not None else F.when(base, 2).otherwise(0).cast("int")).alias("check"),
+                (F.lit(PART if part else LOOSE) if judged else F.when(base, BASE).otherwise(FAILED)).cast("int").alias("check"),
             ).alias("features"),
         )
 
@@ -142,7 +163,13 @@ def _candidates(text: Column, kind: str, pattern: str, gate: Column, rule: int |
         "array<struct<kind: int, start: int, end: int, base: boolean, votes: struct<rule: int, gazetteer: int, context: int, edges: int, makeup: int>,"
         " features: struct<kind: int, size: int, digits: int, before: int, after: int, check: int>>>"
     )
-    return F.when(gate, F.transform(found(text, pattern), look)).otherwise(none)
+    hits = found(text, pattern)
+    out = F.transform(hits, lambda x: look(x))
+    if not loose and kind in PARTS:
+        failed = F.filter(hits, lambda x: (F.length(x["s"]) > 8) & ~_passes(kind, x["s"]))
+        parts = F.flatten(F.transform(failed, lambda x: F.transform(found(x["s"], PARTS[kind]), lambda y: F.struct((x["start"] + y["start"]).alias("start"), y["s"].alias("s")))))
+        out = F.concat(out, F.transform(F.filter(parts, lambda x: _passes(kind, x["s"])), lambda x: look(x, True)))
+    return F.when(gate, out).otherwise(none)
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -154,13 +181,13 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def _all_candidates(t: Column) -> Column:
     """Candidates of all kinds; digit runs far too short for a card are left out."""
     return F.concat(
-        _candidates(t, "email", EMAIL, F.contains(t, F.lit("@")), None),
-        _candidates(t, "ip", IP, t.rlike(r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]"), None),
-        F.filter(_candidates(t, "card", CARD, t.rlike(r"[0-9](?:[\x20-]?[0-9]){12}"), None), lambda c: c["features"]["size"] >= 2),
-        _candidates(t, "phone", PHONE, F.contains(t, F.lit("+")), None),
-        _candidates(t, "email", SPELT_EMAIL, t.rlike(r"(?i)[\[(] ?dot"), 0),
-        _candidates(t, "phone", LOCAL_PHONE, t.rlike("[0-9]{3}[.-][0-9]{4}"), 0),
-        _candidates(t, "secret", SECRET, t.rlike("(?i)token|secret|passw|key"), 0),
+        _candidates(t, "email", EMAIL, F.contains(t, F.lit("@"))),
+        _candidates(t, "ip", IP, t.rlike(r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]")),
+        F.filter(_candidates(t, "card", CARD, t.rlike(r"[0-9](?:[\x20-]?[0-9]){12}")), lambda c: c["features"]["size"] >= 2),
+        _candidates(t, "phone", PHONE, F.contains(t, F.lit("+"))),
+        _candidates(t, "email", SPELT_EMAIL, t.rlike(r"(?i)[\[(] ?dot"), True),
+        _candidates(t, "phone", LOCAL_PHONE, t.rlike("[0-9]{3}[.-][0-9]{4}"), True),
+        _candidates(t, "secret", SECRET, t.rlike("(?i)token|secret|passw|key"), True),
     )
 
 
@@ -168,9 +195,9 @@ def expectation_maximisation(patterns: list[tuple[int, tuple[int, ...], int]], r
     """P(personal) of each (kind, votes), from (kind, votes, count), by Dawid and Skene's model with two classes.
 
     Labelers are taken as independent given the class; the prior is that of the kind.  The first posteriors are those
-    of a majority vote, which also fixes which class is which.
+    of a weighted vote, which also fixes which class is which.
     """
-    post = {(k, v): 1 / (1 + math.exp(-sum(v))) for k, v, _ in patterns}
+    post = {(k, v): 1 / (1 + math.exp(-sum(WEIGHTS[name] * x for name, x in zip(LABELERS, v)))) for k, v, _ in patterns}
     for _ in range(rounds):
         like = [[{x: 0.0 for x in (-1, 0, 1)} for _ in LABELERS] for _ in (0, 1)]
         prior = {k: [1.0, 1.0] for k in range(len(KINDS))}
@@ -192,30 +219,32 @@ def expectation_maximisation(patterns: list[tuple[int, tuple[int, ...], int]], r
 
 
 #: Features of the classifier: name and number of values.
-FEATURES = (("kind", len(KINDS)), ("size", 10), ("digits", 6), ("before", 2), ("after", 2), ("check", 3))
-
-
-def fit_classifier(rows: list[tuple[tuple[int, ...], float, float]], rounds: int = 200) -> tuple[float, list[list[float]]]:
-    """Bias and weights of a logistic regression over one-hot features, from (features, count, sum of posteriors)."""
-    bias, w = 0.0, [[0.0] * n for _, n in FEATURES]
-    total = sum(n for _, n, _ in rows) or 1.0
+FEATURES = (("kind", len(KINDS)), ("size", 10), ("digits", 6), ("before", 2), ("after", 2), ("check", 4))
+
+
+def fit_classifier(rows: list[tuple[tuple[int, ...], float, float]], rounds: int = 30) -> tuple[float, list[list[float]]]:
+    """Bias and weights of a logistic regression over one-hot features, from (features, count, sum of posteriors), by
+    Newton's method with a small ridge."""
+    sizes = [n for _, n in FEATURES]
+    first = np.cumsum([1, *sizes[:-1]])
+    x = np.zeros((len(rows), 1 + sum(sizes)))
+    x[:, 0] = 1
+    for i, (values, _, _) in enumerate(rows):
+        x[i, first + np.array(values)] = 1
+    n, y = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    w = np.zeros(x.shape[1])
     for _ in range(rounds):
-        g0, g = 0.0, [[0.0] * n for _, n in FEATURES]
-        for x, n, p in rows:
-            z = bias + sum(w[j][i] for j, i in enumerate(x))
-            e = (n / (1 + math.exp(-max(-30.0, min(30.0, z)))) - p) / total
-            g0 += e
-            for j, i in enumerate(x):
-                g[j][i] += e
-        bias -= 2.0 * g0
-        w = [[a - 2.0 * (b + 1e-4 * a) for a, b in zip(u, v)] for u, v in zip(w, g)]
-    return bias, w
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        hessian = (x * (n * p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(len(w))
+        step = np.linalg.solve(hessian, x.T @ (n * p - y) + RIDGE * w)
+        w -= step * min(1.0, 4.0 / max(np.abs(step).max(), 1e-12))
+    return float(w[0]), [w[a : a + k].tolist() for a, k in zip(first, sizes)]
 
 
 def train(cands: DataFrame) -> tuple[float, list[list[float]]] | None:
     each = cut(
         cands.select(F.explode("cands").alias("c")).groupBy("c.votes", "c.features").agg(F.count("*").alias("n"))
-    )  # at most 1,215 x 3,600 rows, in practice some hundreds
+    )  # at most 1,215 x 4,800 rows, in practice some hundreds
     votes = each.groupBy("features.kind", *(F.col(f"votes.{name}") for name in LABELERS)).agg(F.sum("n").alias("n")).collect()
     patterns = sorted((r[0], tuple(r[1 : 1 + len(LABELERS)]), r["n"]) for r in votes)
     if not patterns:
@@ -253,8 +282,15 @@ def _spans(cands: DataFrame, model: tuple[float, list[list[float]]] | None) -> D
             z = z + F.element_at(F.array(*map(F.lit, w[j])), c["features"][name] + 1)
         return 1 / (1 + F.exp(-z)) >= DECIDE
 
-    free = F.filter("cands", lambda c: ~c["base"] & (c["features"]["check"] > 0) & likely(c) & ~F.exists("base", lambda b: (b["kind"] == c["kind"]) & (b["start"] < c["end"]) & (b["end"] > c["start"])))
-    return out.withColumn("spans", F.array_sort(F.concat("base", F.transform(free, plain))))
+    def clash(c, others):
+        return F.exists(others, lambda b: (b["kind"] == c["kind"]) & (b["start"] < c["end"]) & (b["end"] > c["start"]))
+
+    # a part lies inside its failed match, so one of them can stay: the whole match, if the model takes it
+    taken = F.filter("cands", lambda c: ~c["base"] & likely(c) & ~clash(c, F.col("base")))
+    whole = F.transform(F.filter(taken, lambda c: c["features"]["check"] != PART), plain)
+    out = out.withColumn("_pii_whole", whole).withColumn("_pii_parts", F.transform(F.filter(taken, lambda c: c["features"]["check"] == PART), plain))
+    free = F.concat("_pii_whole", F.filter("_pii_parts", lambda c: ~clash(c, F.col("_pii_whole"))))
+    return out.withColumn("spans", F.array_sort(F.array_distinct(F.concat(F.col("base"), free)))).drop("_pii_whole", "_pii_parts")
 
 
 def listed(spans: Column) -> Column:
@@ -265,10 +301,11 @@ def listed(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with every span of its text replaced by <KIND>; n_chars, if there, follows the new text."""
+    """docs with every span of its text, and other occurrences of their values, replaced by <KIND>; n_chars, if there,
+    follows the new text."""
     held = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("doc"), text_of(text_col).alias("_pii_all"))
-    held = held.withColumn("cands", _all_candidates(F.col("_pii_all")))
-    spans = _spans(held, train(cut(candidates(docs, id_col, text_col))))
+    held = cut(held.withColumn("cands", _all_candidates(F.col("_pii_all"))))  # patterns run once, for training and for redaction
+    spans = _spans(held, train(held))
     # overlapping spans unite; then the text between them and their names are joined
     united = F.aggregate(
         F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))),
@@ -281,8 +318,14 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         ),
         lambda acc: F.concat(acc["text"], F.substring("_pii_all", acc["at"] + 1, F.length("_pii_all"))),
     )
+    # longer values first, so that none is cut by one that it holds; a value never holds a mark
+    values = F.transform("spans", lambda s: F.struct((s["start"] - s["end"]).alias("order"), F.substring("_pii_all", s["start"] + 1, s["end"] - s["start"]).alias("s"), s["kind"].alias("kind")))
+    values = F.array_sort(F.array_distinct(F.filter(values, lambda v: v["order"] <= -KNOWN)))
+    name = F.array(*map(F.lit, KINDS))
+    known = F.aggregate(values, F.col("_pii_new"), lambda acc, v: F.replace(acc, v["s"], F.concat(F.lit("<"), F.upper(F.element_at(name, v["kind"] + 1)), F.lit(">"))))
     none = F.size("spans") == 0
-    new = spans.withColumn("new", F.when(none, F.col(f"doc.{text_col}")).otherwise(united))
+    new = spans.withColumn("_pii_new", F.when(none, F.col(f"doc.{text_col}")).otherwise(united))
+    new = new.withColumn("new", F.when(none, F.col("_pii_new")).otherwise(known))
     names = {text_col: F.col("new").alias(text_col)}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
