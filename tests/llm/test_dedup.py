@@ -276,3 +276,22 @@ def test_components_reach_the_smallest_node(spark):
         parent[max(x, y)] = min(x, y)
     got = {r.node: r.comp for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {n: find(n) for e in edges if e[0] != e[1] for n in e}
+
+
+def test_exact_dedup_in_slices_gives_the_same_rows(documents, monkeypatch):
+    want = sorted(map(tuple, exact_dedup.decide(documents(EXACT)).collect()), key=str)
+    kept = sorted(r.doc_id for r in exact_dedup.keep(documents(EXACT)).collect())
+    assert kept == sorted({k for k, _ in exact(EXACT).values()})
+    monkeypatch.setattr(exact_dedup, "MAX_CELLS", 1 << 12)
+    assert exact_dedup.n_slices(len(EXACT)) == 4 and exact_dedup.n_cells(10**9) == 1 << 12
+    assert sorted(map(tuple, exact_dedup.decide(documents(EXACT)).collect()), key=str) == want
+    monkeypatch.setattr(exact_dedup, "MAX_BROADCAST_GROUPS", 0)
+    assert sorted(r.doc_id for r in exact_dedup.keep(documents(EXACT)).collect()) == kept
+
+
+def test_exact_dedup_of_null_and_least_ids(spark):
+    rows = [(None, "a b"), (None, "ab"), (-(2**63), "ab"), (2**63 - 1, "ab"), (None, "c"), (None, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.decide(docs).collect()), key=str)
+    assert got == sorted([(None, None, 4, True), (None, None, 4, False), (-(2**63), None, 4, False), (2**63 - 1, None, 4, False), (None, None, 2, True), (None, None, 2, False)], key=str)
+    assert sorted(r.text for r in exact_dedup.keep(docs).collect()) == ["a b", "c"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,21 +15,27 @@ LOCAL_SHARED_DIR = "/tmp/checkpoints/tickloom"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset and driver and
+    executors are one process; on a cluster it has to be set, since executors would write to disks of their own."""
+    conf = spark.sparkContext.getConf()
+    d = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
     if not d:
+        if not re.fullmatch(r"local(\[[^,]*(,[0-9]+)?\])?", spark.sparkContext.master or ""):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = LOCAL_SHARED_DIR
     return d.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it back, so that lost executors never cost its lineage.
+def cut(df: DataFrame, *by: str) -> DataFrame:
+    """Write df as a table (in parts by columns, if given) in the shared folder and read it back, so that lost executors
+    never cost its lineage.
 
     Tables lie in a folder of the application, which may be removed when it has ended.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(*by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
