@@ -165,3 +165,17 @@ def test_rules_of_very_many_lengths_all_fit(spark):
     parts = spark.range(200).selectExpr("id page_id", "'a.com' host", "'/' || repeat('x', cast(id as int)) path")
     rows = url_filter.judge_by_join(parts, rules).collect()
     assert len(rows) == 200 and all(r.rule == r.host + r.path for r in rows)
+
+
+def test_all_capacities_tell_bins_apart_and_cost_no_sequence():
+    rng = np.random.default_rng(9)
+    for _ in range(4):
+        counts = dict(Counter(np.minimum(rng.geometric(1 / rng.integers(60, 500), 4000), 1023).tolist()))
+        n = {w: sum(k for k, _ in packing.pack_lengths(counts, packing.Capacity(weights=w))) for w in ((1.0, 0.0, 0.0), packing.Capacity().weights)}
+        assert n[packing.Capacity().weights] <= n[1.0, 0.0, 0.0]
+    assert min(packing.Capacity().weights) > 0
+    # two bins with room for 24 tokens each: one of one long document, one of two; the third goes where less attention is left
+    groups = packing.pack_lengths({1000: 1, 500: 2, 24: 1})
+    assert sorted((n, sorted(x)) for n, x in groups) == [(1, [24, 1000]), (1, [500, 500])]
+    groups = packing.pack_lengths({1000: 1, 500: 2, 24: 1}, packing.Capacity(weights=(1.0, 4.0, 0.0)))
+    assert sorted((n, sorted(x)) for n, x in groups) == [(1, [24, 500, 500]), (1, [1000])]

@@ -41,18 +41,22 @@ END = 2
 
 def n_buckets(n_rows: int) -> int:
     """Hash buckets in which the pieces of one length are ranked."""
-    return min(4096, max(64, n_rows // 4000))
+    return max(64, n_rows // 4000)
 
 
 @dataclass(frozen=True)
 class Capacity:
-    """What one sequence holds.  The defaults for documents and attention follow from the tokens and never bind alone."""
+    """What one sequence holds, and what each capacity weighs in the choice of a bin.
+
+    The defaults for documents and attention follow from the tokens, so tokens bind first; they still tell bins with the
+    same room for tokens apart (fewer, longer documents are left to bins of their like), which costs no sequence.
+    """
 
     tokens: int = 1024
     documents: int = 1024
     attention: int = 1024 * 1024
     #: Weights of tokens, documents and attention in the score.
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0)
+    weights: tuple[float, float, float] = (1.0, 0.25, 0.25)
     #: "dot": weighted dot product of demand and residual, the least that fits; "norm": weighted norm of what is left.
     score: str = "dot"
 
@@ -120,6 +124,9 @@ def plan_table(groups: list[tuple[int, list[int]]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 4)
 
 
+_KINDS = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+
+
 def _pieces(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     bpe, end = ByteBPE(), np.array([END], "<u4")
     for b in batches:
@@ -130,14 +137,14 @@ def _pieces(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
             cuts = [0, *range((n - 1) % size + 1, n + 1, size)]
             rows += [(ids_of[i], k, a, z - a, zlib.crc32(raw[4 * a : 4 * z])) for k, (a, z) in enumerate(zip(cuts, cuts[1:]))]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 5,
+            [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, _KINDS)],
             ["doc_id", "piece", "start", "length", "ids_crc32"],
         )
 
 
 def cut_pieces(docs: DataFrame, size: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece."""
-    schema = "doc_id long, piece long, start long, length long, ids_crc32 long"
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col)).mapInArrow(lambda b: _pieces(b, size), schema)
 
 
@@ -154,7 +161,7 @@ def _place(batches: Iterator[pa.RecordBatch], plan) -> Iterator[pa.RecordBatch]:
         )
 
 
-PACKED = "doc_id long, piece long, start long, length long, ids_crc32 long, sequence_id long, offset long"
+PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
 def pack(pieces: DataFrame, cap: Capacity = Capacity()) -> DataFrame:
