@@ -80,11 +80,6 @@ def keep_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return _by_id(docs, ids, "left_semi")
 
 
-def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id isn't in the one column of ids; a long list is joined by a shuffle."""
-    return _by_id(docs, ids, "left_anti")
-
-
 def mark_ids(docs: DataFrame, ids: DataFrame, flag: str) -> DataFrame:
     """docs with a boolean column: doc_id is in the one column of ids."""
     return _by_id(docs, ids, "left").withColumn(flag, F.col("_only_id").isNotNull()).drop("_only_id")
