@@ -283,3 +283,98 @@ def test_vocabulary_counts_words_over_all_tasks(spark):
     texts = ["common " * 99_994 + "rarely " * 6, "common " * 19_988 + "rarely " * 12]  # 18 of 120,000: more than SHARE
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartitionByRange(2, "doc_id")
     assert "rarely" in quality_lm.vocabulary(docs).ids
+
+
+def test_rows_of_one_id_are_judged_each(spark):
+    texts, labels = corpus(3)
+    junk = texts[125][1]
+    rows = [(i, t, "en") for i, t in texts if i < 200] + [(90, junk, "de"), (None, junk, "en"), (None, texts[70][1], None), (91, junk, None), (91, texts[71][1], "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    out = quality_lm.decide(docs, table).collect()
+    assert len(out) == len(rows) and {r.lang for r in out if r.doc_id == 90} == {"en", "de"}
+    kept = [(r.doc_id, r.text, r.lang) for r in quality_lm.keep(docs, table).collect()]
+    assert (90, dict(texts)[90], "en") in kept and (91, texts[71][1], "en") in kept and (None, texts[70][1], None) in kept
+    assert not [t for _, t, _ in kept if t == junk] and len(kept) == len(rows) - 3
+    for r in out:  # a threshold is a quantile of the language's trusted rows, or of all, plus a margin
+        assert r.keep == (r.perplexity <= r.threshold)
+
+
+def spans_by_plain_code(texts):
+    """Known spans of texts that the model has to accept or reject."""
+    rng = random.Random(4)
+    out = []
+    for i in range(texts):
+        a, b = (f"4{rng.randrange(10**14):014d}" for _ in range(2))
+        a, b = (x + next(str(d) for d in range(10) if luhn(x + str(d))) for x in (a, b))
+        bad = a[:-1] + str((int(a[-1]) + 1) % 10)
+        out += [f"pay {a} now", f"order {bad} ok", f"cards {a} {b} here", f"ring +1 (826) 555-{rng.randrange(10**4):04d} 190.137.223.{rng.randrange(200)} then"]
+    return out
+
+
+def test_the_model_accepts_parts_and_rejects_impostors(documents):
+    texts = list(enumerate(spans_by_plain_code(30)))
+    rows = {r.doc_id: r for r in pii.find(documents(texts)).collect()}
+    redacted = {r.doc_id: r.text for r in pii.redact(documents(texts)).collect()}
+    for i, t in texts:
+        got = sorted(t[s.start : s.end] for s in rows[i].spans)
+        base = [(pii.KINDS[s.kind], s.start, s.end) for s in rows[i].base]
+        assert base == base_spans(t)
+        words = t.split()
+        if words[0] == "order":
+            assert not got and redacted[i] == t
+        elif words[0] == "cards" and not base:
+            assert got == sorted(words[1:3]) and redacted[i] == "cards <CARD> <CARD> here"
+        elif words[0] == "ring":
+            assert redacted[i] == "ring <PHONE> <IP> then"
+        marks = [(s.start, s.end) for s in rows[i].spans]
+        inside = {k for a, z in marks for k in range(a, z)}
+        outside = "".join(c for k, c in enumerate(t) if k not in inside)
+        assert re.sub("<[A-Z]+>", "", redacted[i]) == outside  # exactly the spans went
+
+
+def test_em_equals_one_that_takes_every_item_alone():
+    rng = random.Random(5)
+    items = [(rng.randrange(3), tuple(rng.choice([-1, 0, 1]) for _ in pii.LABELERS)) for _ in range(400)]
+    post = [1 / (1 + math.exp(-sum(w * x for w, x in zip(pii.WEIGHTS.values(), v)))) for _, v in items]
+    for _ in range(40):
+        like = [[[(1.0 if x * (2 * c - 1) > 0 else 0.5) for x in (-1, 0, 1)] for _ in pii.LABELERS] for c in (0, 1)]
+        for c in (0, 1):  # the anchored rule
+            like[c][0][2 * c] += pii.SOUND * len(items)
+            like[c][0][2 - 2 * c] += (1 - pii.SOUND) * len(items)
+        prior = [[1.0, 1.0] for _ in pii.KINDS]
+        for (k, v), p in zip(items, post):
+            for c, share in ((0, 1 - p), (1, p)):
+                prior[k][c] += share
+                for j, x in enumerate(v):
+                    like[c][j][x + 1] += share
+        like = [[[y / sum(t) for y in t] for t in side] for side in like]
+        odds = [math.log(prior[k][1] / prior[k][0]) + sum(math.log(like[1][j][x + 1] / like[0][j][x + 1]) for j, x in enumerate(v)) for k, v in items]
+        post = [1 / (1 + math.exp(-max(-30, min(30, z)))) for z in odds]
+    got = pii.expectation_maximisation([(k, v, n) for (k, v), n in Counter(items).items()])
+    assert all(got[i] == pytest.approx(p, abs=1e-9) for i, p in zip(items, post))
+
+
+def test_classifier_finds_the_best_weights():
+    rng = np.random.default_rng(3)
+    rows = [(tuple(int(rng.integers(n)) for _, n in pii.FEATURES), float(rng.integers(1, 40)), 0.0) for _ in range(80)]
+    rows = [(x, n, n * float(rng.random())) for x, n, _ in rows]
+    bias, w = pii.fit_classifier(rows)
+
+    def loss(bias, w):
+        out = pii.RIDGE / 2 * (bias**2 + sum(a * a for u in w for a in u))
+        for x, n, p in rows:
+            z = bias + sum(w[j][i] for j, i in enumerate(x))
+            out += n * math.log1p(math.exp(z)) - p * z
+        return out
+
+    best = loss(bias, w)
+    for _ in range(50):
+        assert loss(bias + rng.normal(0, 0.05), [[a + rng.normal(0, 0.05) for a in u] for u in w]) > best
+
+
+def test_personal_data_of_nothing_and_of_long_texts(documents):
+    assert pii.find(documents([])).count() == 0
+    long = "x " * 200_000 + "joe@example.com " + "y " * 10
+    r = pii.find(documents([(1, long)])).first()
+    assert [(s.kind, s.start, s.end) for s in r.spans] == [(0, 400_000, 400_015)]

@@ -6,7 +6,8 @@ pass it (a phone number with an address behind it, two card numbers in a row).
 check, always stay.  For the rest labelers vote for (1), against (-1) or not at all (0): the base rule, a gazetteer of
 the kind, the words before the match, the characters at its edges and the make-up of its characters.  Expectation-maximisation
 (Dawid and Skene) estimates how reliable each labeler is from the counts of vote patterns alone, starting from a vote in
-which the base rule, a checksum or a range, counts WEIGHTS["rule"] times, and its posteriors train the final classifier, a logistic regression over the span's own features
+which the base rule, a checksum or a range, counts WEIGHTS["rule"] times and knowing that rule to be sound; its posteriors
+train the final classifier, a logistic regression over the span's own features
 (kind, size, share of digits, edges, check).  Candidates that it puts at DECIDE or more become spans too, base matches
 that failed their check among them, unless they overlap a base span of their kind or a longer accepted candidate of it.
 ``redact`` also replaces other occurrences of a found value of KNOWN code points or more in the same text: what is
@@ -71,6 +72,8 @@ AGAINST = r"(?i)(?:version|v\.|isbn|section|chapter|release|§)[^\n]{0,8}$"
 LABELERS = ("rule", "gazetteer", "context", "edges", "makeup")
 #: What the votes count in the first round.
 WEIGHTS = {"rule": 4.0, "gazetteer": 1.0, "context": 1.0, "edges": 1.0, "makeup": 1.0}
+#: The base rule is known to be good: it gets as many votes as there are candidates, of which so many are right.
+SOUND = 0.98
 FAILED, LOOSE, BASE, PART = range(4)
 
 
@@ -197,6 +200,7 @@ def expectation_maximisation(patterns: list[tuple[int, tuple[int, ...], int]], r
     Labelers are taken as independent given the class; the prior is that of the kind.  The first posteriors are those
     of a weighted vote, which also fixes which class is which.
     """
+    votes = float(sum(n for _, _, n in patterns))
     post = {(k, v): 1 / (1 + math.exp(-sum(WEIGHTS[name] * x for name, x in zip(LABELERS, v)))) for k, v, _ in patterns}
     for _ in range(rounds):
         like = [[{x: 0.0 for x in (-1, 0, 1)} for _ in LABELERS] for _ in (0, 1)]
@@ -210,6 +214,9 @@ def expectation_maximisation(patterns: list[tuple[int, tuple[int, ...], int]], r
             for j in range(len(LABELERS)):
                 # one pseudo-vote in the sense of the class, so that a labeler without evidence stays a weak one
                 table = {x: like[c][j][x] + (1.0 if x * (2 * c - 1) > 0 else 0.5) for x in (-1, 0, 1)}
+                if LABELERS[j] == "rule":
+                    table[2 * c - 1] += SOUND * votes
+                    table[1 - 2 * c] += (1 - SOUND) * votes
                 total = sum(table.values())
                 like[c][j] = {x: y / total for x, y in table.items()}
         for k, v, _ in patterns:
