@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.functions import clock
+from tickloom.operators import universe
+from tickloom.plans import features
+from tickloom.sources.stores import FeatureStore, RawStore
+
 #: Days of each kind of raw data that are kept.
 KEEP_DAYS = {"quotes": 35, "trades": 180, "bars": 180}
 
@@ -27,6 +33,38 @@ def ready_jobs(wanted: DataFrame, with_bars: DataFrame) -> DataFrame:
     return wanted.join(with_bars.select("day", "ticker").distinct(), ["day", "ticker"], "left_semi")
 
 
+def backfill_raw(raw: RawStore, frames: dict[str, DataFrame], days: Iterable[str], tickers: Iterable[str] | None = None, redo: bool = False) -> dict[str, int]:
+    """Store vendor rows by kind (bars, trades, quotes) of the days that the store lacks (all of them with redo); the
+    number of days written by kind."""
+    wanted, done = set(days), {}
+    for kind, rows in frames.items():
+        have = set() if redo else {r["date"] for r in raw.read(kind).select("date").distinct().collect()}  # a row a day
+        missing = sorted(wanted - have)
+        if missing:
+            rows = rows.where(clock.session_date(F.col("ts_ns")).cast("string").isin(*missing))
+            raw.write(kind, rows if tickers is None else rows.where(F.col("ticker").isin(*tickers)))
+        done[kind] = len(missing)
+    return done
+
+
+def backfill_features(raw: RawStore, store: FeatureStore, days: Iterable[str] | None = None, tickers: Iterable[str] | None = None, with_ticks: bool = True, redo: bool = False) -> None:
+    """Compute the features of raw days that aren't settled yet (all of them with redo) and store them as backfill."""
+    present = raw.read("bars", days, tickers).select("date").distinct()
+    if not redo:
+        present = present.join(F.broadcast(store.settled_dates()), "date", "left_anti")
+    todo = [r["date"] for r in present.collect()]  # a row a day
+    if todo:
+        store.write(features.compute(*raw.replay(todo, tickers, with_ticks)), "backfill")
+
+
+def build_universe(assets: DataFrame, daily: DataFrame, day: str, root: str, **limits) -> DataFrame:
+    """The universe of a day: structural filter, dollar volume, selection; written and returned."""
+    names = universe.candidates(assets).select("symbol").distinct()
+    stats = universe.dollar_volume(daily.join(names, "symbol", "left_semi"), day)
+    universe.write(universe.select(stats, **limits), root, day)
+    return universe.latest(daily.sparkSession, root)
+
+
 def expired(partitions: DataFrame, today: str | date, keep: dict[str, int] = KEEP_DAYS) -> DataFrame:
     """kind, day of the partitions older than their kind's days (strictly)."""
     limit = F.create_map(*(x for k, n in keep.items() for x in (F.lit(k), F.lit(n))))

@@ -24,6 +24,11 @@ def key_counts(a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
+def of_tickers(df: DataFrame, tickers: Iterable[str] | None) -> DataFrame:
+    """Rows of the tickers; all rows for None."""
+    return df if tickers is None else df.where(F.col("ticker").isin(*tickers))
+
+
 def cells(a: DataFrame, b: DataFrame, names: Iterable[str] | None = None, rtol: float = RTOL, atol: float = ATOL) -> DataFrame:
     """feature, position, cells, mismatches, max_abs_diff over the keys that both sides have.
 
@@ -48,8 +53,9 @@ def cells(a: DataFrame, b: DataFrame, names: Iterable[str] | None = None, rtol:
     return one.select("_cells", F.explode(rows).alias("r")).select("r.feature", "r.position", F.col("_cells").alias("cells"), "r.mismatches", "r.max_abs_diff")
 
 
-def summary(a: DataFrame, b: DataFrame, rtol: float = RTOL, atol: float = ATOL) -> DataFrame:
-    """One row: key counts, cells, mismatches and match_pct (NULL without cells)."""
+def summary(a: DataFrame, b: DataFrame, rtol: float = RTOL, atol: float = ATOL, tickers: Iterable[str] | None = None) -> DataFrame:
+    """One row: key counts, cells, mismatches and match_pct (NULL without cells); of some tickers, if given."""
+    a, b = of_tickers(a, tickers), of_tickers(b, tickers)
     total = cells(a, b, rtol=rtol, atol=atol).agg(F.sum("cells").alias("cells"), F.sum("mismatches").alias("mismatches"))
     pct = F.when(F.col("cells") > 0, 100.0 * (1 - F.col("mismatches") / F.col("cells")))
     return key_counts(a, b).crossJoin(total).withColumn("match_pct", pct)  # one row by one row

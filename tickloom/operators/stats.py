@@ -30,6 +30,34 @@ def histogram(df: DataFrame, x: str, bounds: Sequence[float], by: Sequence[str]
     return counts.select(*by, F.explode(F.array(*rows)).alias("r")).select(*by, "r.le", "r.n")
 
 
+def histogram_quantile(hist: DataFrame, q: float, by: Sequence[str] = ()) -> DataFrame:
+    """The q-quantile of each cumulative histogram (le, n; le is NULL for the unbounded bucket), linear inside a bucket.
+
+    The lowest bucket starts at 0; a quantile in the unbounded bucket is the highest bound; NULL without values.
+    """
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*by).orderBy(F.col("le").asc_nulls_last())
+    rows = hist.withColumns({"_lo": F.lag("le").over(w), "_before": F.lag("n").over(w), "_all": F.max("n").over(Window.partitionBy(*by))})
+    want = q * F.col("_all")
+    hit = rows.withColumn("_k", F.row_number().over(w)).where((F.col("n") >= want) & (F.col("_all") > 0))
+    first = hit.groupBy(*by).agg(F.min_by(F.struct("le", "n", "_lo", "_before", "_all"), "_k").alias("h"))
+    lo, before = F.coalesce("h._lo", F.lit(0.0)), F.coalesce("h._before", F.lit(0))
+    share = F.when(F.col("h.n") > before, (q * F.col("h._all") - before) / (F.col("h.n") - before)).otherwise(0.0)
+    value = F.when(F.col("h.le").isNull(), F.col("h._lo")).otherwise(lo + (F.col("h.le") - lo) * share)
+    return first.select(*by, value.alias("value"))
+
+
+def slowest_first(costs: DataFrame) -> DataFrame:
+    """Costs by feature, the highest p99 first, then by name."""
+    return costs.orderBy(F.col("p99").desc_nulls_last(), "feature")
+
+
+def totals(costs: DataFrame) -> DataFrame:
+    """One row: features, the sum of their own costs and whether all are within the budget."""
+    return costs.agg(F.count("*").alias("features"), F.sum("own").alias("own"), F.coalesce(F.bool_and("within"), F.lit(True)).alias("all_within"))
+
+
 def marginal_cost(samples: DataFrame, baseline: str, budget: float) -> DataFrame:
     """Per feature: distribution, own cost (mean less the baseline's) and whether its p99 is within the budget."""
     d = distribution(samples, "ns", ["feature"])
@@ -59,6 +87,27 @@ def shard_sizes(df: DataFrame, n: int) -> DataFrame:
     return per.agg(F.min("count").alias("min_tickers"), F.max("count").alias("max_tickers"), F.count("*").alias("used_shards"))
 
 
+def chunks(df: DataFrame, size: int, order: Sequence[Column | str], by: Sequence[str] = ()) -> DataFrame:
+    """df with the number of its chunk of size rows in order, from 0."""
+    if size < 1:
+        raise ValueError("a chunk has at least one row")
+    return _numbered(df, order, by).withColumn("chunk", F.floor((F.col("_rn") - 1) / size)).drop("_rn")
+
+
+def deal(df: DataFrame, hands: int, order: Sequence[Column | str], by: Sequence[str] = ()) -> DataFrame:
+    """df with the hand (from 0) that each row goes to when rows are dealt in turn."""
+    if hands < 1:
+        raise ValueError("at least one hand")
+    return _numbered(df, order, by).withColumn("hand", F.pmod(F.col("_rn") - 1, F.lit(hands)).cast("long")).drop("_rn")
+
+
+def _numbered(df: DataFrame, order: Sequence[Column | str], by: Sequence[str]) -> DataFrame:
+    """Job lists and symbol lists are small; anything large is numbered within keys."""
+    from pyspark.sql import Window
+
+    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+
+
 def sample_every(df: DataFrame, n: int, order: Sequence[Column | str], by: Sequence[str]) -> DataFrame:
     """Every nth row within each key (a report's feature, not a shortcut)."""
     from pyspark.sql import Window

@@ -366,8 +366,47 @@ for _name in GROUPS:
     register(FeatureGroup(_name, GROUPS[_name], globals()[f"_{_name}"], rolls=globals().get(f"_{_name}_rolls"), **_LEVELS.get(_name, {})))
 
 
-def compute(bars: DataFrame, trades: DataFrame | None = None, quotes: DataFrame | None = None, groups: Iterable[str] | None = None, order: str = "replay") -> DataFrame:
-    """ticker, ts_ns and the features of the groups (all by default), one row a bar; missing is NULL."""
+#: Tickers of a universe that may be broadcast.
+MAX_UNIVERSE = 1_000_000
+
+
+def of_universe(rows: DataFrame | None, universe: DataFrame | None) -> DataFrame | None:
+    """Rows whose ticker is in the universe (a column ticker); those of other tickers yield nothing."""
+    if rows is None or universe is None:
+        return rows
+    names = universe.select("ticker").distinct()
+    return rows.join(F.broadcast(names) if names.count() <= MAX_UNIVERSE else names, "ticker", "left_semi")
+
+
+def compute_custom(bars: DataFrame, columns: Iterable[str], make: Callable, universe: DataFrame | None = None) -> DataFrame:
+    """ticker, ts_ns and columns of a stateful feature that window expressions can't state.
+
+    make: from the bars of one session in order (a pandas frame) to a frame of the columns, a row a bar.  A session has at
+    most some thousand bars, so a group is small.
+    """
+    columns = list(columns)
+    if not columns:
+        raise ValueError("a feature needs columns")
+    schema = "ticker string, ts_ns long, " + ", ".join(f"{c} double" for c in columns)
+
+    def run(session):
+        session = session.sort_values("ts_ns", kind="stable").reset_index(drop=True)
+        out = make(session)
+        out = out[columns].astype("float64")
+        out.insert(0, "ticker", session["ticker"])
+        out.insert(1, "ts_ns", session["ts_ns"])
+        return out
+
+    rows = of_universe(_sane(bars, PRICES), universe).withColumn("session_date", clock.session_date(F.col("ts_ns")))
+    return rows.groupBy(*KEYS).applyInPandas(run, schema)
+
+
+def compute(
+    bars: DataFrame, trades: DataFrame | None = None, quotes: DataFrame | None = None, groups: Iterable[str] | None = None, order: str = "replay", universe: DataFrame | None = None
+) -> DataFrame:
+    """ticker, ts_ns and the features of the groups (all by default), one row a bar; missing is NULL.  universe: the
+    tickers that count, all of them by default."""
+    bars, trades, quotes = (of_universe(df, universe) for df in (bars, trades, quotes))
     chosen = [REGISTRY[g] for g in (groups if groups is not None else REGISTRY)]
     df = bar_table(bars, trades, quotes, order)
     for pre, means in (("base", None), ("pre", "means"), ("pre2", "means2")):

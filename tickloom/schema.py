@@ -34,9 +34,24 @@ GROUPS: dict[str, tuple[str, ...]] = {
     "volprofile": ("rel_vol", "vol_z", "cum_vol"),
     "tradeintensity": ("tc_mean", "tc_z"),
 }
+#: What kind of statistic a group is.
+CATEGORIES: dict[str, tuple[str, ...]] = {
+    "price / trend": ("returns", "ema", "macd", "momentum", "gap", "candle"),
+    "volatility": ("vol", "rvol", "atr", "boll"),
+    "volume": ("vwap", "volprofile", "tradeintensity"),
+    "range": ("sessionrange", "rollrange"),
+    "oscillator": ("rsi",),
+    "calendar": ("sessionclock",),
+    "microstructure": ("tradeflow", "quotespread", "quotedyn"),
+}
+OTHER_CATEGORY = "feature group"
 TICK_GROUPS = ("tradeflow", "quotespread", "quotedyn", "trademicro", "quotemicro", "flowfreq")
 
 
+def category_of(group: str) -> str:
+    return next((c for c, groups in CATEGORIES.items() if group in groups), OTHER_CATEGORY)
+
+
 def columns_of(group: str) -> list[str]:
     return [f"{group}_{c}" for c in GROUPS[group]]
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -11,6 +12,18 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or a temporary one where driver and
+    executors are one process."""
+    sc = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if shared:
+        return f"{shared.rstrip('/')}/scratch-{sc.applicationId}/{uuid.uuid4().hex}"
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="tickloom-")
+
+
 def ship_code(spark: SparkSession) -> None:
     """Give this package to the executors' Python workers, once an application."""
     sc = spark.sparkContext

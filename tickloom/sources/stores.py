@@ -6,6 +6,7 @@ the rest of the predicate to the files.  Feature rows carry ``write_seq``, by wh
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -66,7 +67,7 @@ class RawStore:
 
 def last_write_wins(df: DataFrame, order: str = "write_seq") -> DataFrame:
     """One row a key: the one written last."""
-    rn = F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.col(order).desc()))
+    rn = F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.col(order).desc(), F.xxhash64("*").desc()))  # ties: the same row each time
     return df.withColumn("_rn", rn).where(F.col("_rn") == 1).drop("_rn")
 
 
@@ -82,8 +83,10 @@ class FeatureStore:
     def __init__(self, spark: SparkSession, root: str, version: str = VERSION):
         self.spark, self.root, self.version = spark, root, version
 
-    def write(self, features: DataFrame, source: str, write_seq: int = 0) -> None:
-        """Append rows; a later write_seq replaces the keys of earlier ones on reading."""
+    def write(self, features: DataFrame, source: str, write_seq: int | None = None) -> None:
+        """Append rows; a later write_seq (the time of the write, if none is given) replaces the keys of earlier ones on
+        reading."""
+        write_seq = time.time_ns() if write_seq is None else write_seq
         if source not in SOURCES:
             raise ValueError(f"source is one of {SOURCES}")
         out = features.select(
@@ -98,15 +101,17 @@ class FeatureStore:
             raise ValueError(f"source is one of {SOURCES}")
         if not _exists(self.spark, f"{self.root}/v={self.version}/source={source}"):
             return None
-        df = self.spark.read.option("mergeSchema", "true").parquet(self.root).where((F.col("v") == self.version) & (F.col("source") == source))
+        here = f"{self.root}/v={self.version}/source={source}"  # files of other versions and sources aren't even listed
+        df = self.spark.read.option("mergeSchema", "true").option("basePath", self.root).parquet(here)
         for bound, op in ((start_ns, "ge"), (end_ns, "lt")):
             if bound is not None:
                 day = clock.session_date(F.lit(bound)).cast("string")
                 df = df.where((F.col("ts_ns") >= bound) & (F.col("date").cast("string") >= day)) if op == "ge" else df.where((F.col("ts_ns") < bound) & (F.col("date").cast("string") <= day))
         return last_write_wins(df).drop("write_seq", "v", "source", "date")
 
-    def read(self, start_ns: int | None = None, end_ns: int | None = None, names: Iterable[str] | None = None, source: str = "auto", provisional: str = "stream") -> DataFrame:
-        """Feature rows by key.  auto: backfill settles, the provisional source fills in."""
+    def read(self, start_ns: int | None = None, end_ns: int | None = None, names: Iterable[str] | None = None, source: str = "auto", provisional: str = "stream", ordered: bool = True) -> DataFrame:
+        """Feature rows by key, in its order unless ordered is false (a sort of all rows).  auto: backfill settles, the
+        provisional source fills in."""
         if source == "auto":
             settled, extra = self.scan("backfill", start_ns, end_ns), self.scan(provisional, start_ns, end_ns)
             df = merge(settled, extra) if settled is not None and extra is not None else settled if settled is not None else extra
@@ -116,12 +121,12 @@ class FeatureStore:
             df = self.spark.createDataFrame([], "ticker string, ts_ns long")
         if names is not None:
             df = df.select(*KEYS, *(x for x in names if x in df.columns))
-        return df.orderBy(*KEYS)
+        return df.orderBy(*KEYS) if ordered else df
 
     def settled_dates(self) -> DataFrame:
         if not _exists(self.spark, f"{self.root}/v={self.version}/source=backfill"):
             return self.spark.createDataFrame([], "date string")
-        df = self.spark.read.parquet(self.root).where((F.col("v") == self.version) & (F.col("source") == "backfill"))
+        df = self.spark.read.option("basePath", self.root).parquet(f"{self.root}/v={self.version}/source=backfill")
         return df.select(F.col("date").cast("string").alias("date")).distinct().orderBy("date")
 
     def partitions(self) -> DataFrame:

@@ -64,7 +64,7 @@ def apply_batch(batch: DataFrame, batch_id: int, raw: RawStore, store: FeatureSt
             _add(raw, r["kind"], batch.where(F.col("kind") == r["kind"]), days, f"{pending}/{batch_id}/{r['kind']}")
         tickers = F.broadcast(batch.select("ticker").distinct()) if batch.count() < 1_000_000 else None
         rows = [df if tickers is None else df.join(tickers, "ticker", "left_semi") for df in raw.replay(days)]
-        store.write(features.compute(*rows), "stream", write_seq=batch_id)
+        store.write(features.compute(*rows), "stream")  # by time, so that a new checkpoint, which counts from 0, wins too
         _delete(spark, f"{pending}/{batch_id - 1}" if run else pending)
     finally:
         batch.unpersist()
