@@ -89,10 +89,14 @@ def by_pushes(keys: list[str], seq: str, n: int) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(seq).rangeBetween(-(n - 1), 0)
 
 
+def chunk_of(n: Column) -> Column:
+    """The chunk of a row with which n values have come."""
+    return F.greatest(F.call_function("div", n - 1, F.lit(CHUNK)), F.lit(0))
+
+
 def with_chunks(df: DataFrame, x: str, keys: list[str], order: list[Column | str], chunk: str) -> DataFrame:
     """df with the number of its chunk: so many values of x have come before, over CHUNK."""
-    n = F.count(x).over(so_far(Window.partitionBy(*keys).orderBy(*order)))
-    return df.withColumn(chunk, F.greatest(F.call_function("div", n - 1, F.lit(CHUNK)), F.lit(0)))
+    return df.withColumn(chunk, chunk_of(F.count(x).over(so_far(Window.partitionBy(*keys).orderBy(*order)))))
 
 
 def with_ewma(df: DataFrame, specs: dict[str, tuple[str, int]], keys: list[str], order: list[Column | str], chunk: str) -> DataFrame:

@@ -30,44 +30,53 @@ def _sane(df: DataFrame, names: Iterable[str]) -> DataFrame:
 
 
 def bar_table(bars: DataFrame, trades: DataFrame | None, quotes: DataFrame | None, order: str = "replay") -> DataFrame:
-    """One row a bar: its fields, bar_idx, and the aggregates of the ticks that it consumes."""
-    t = tapes.build(_sane(bars, PRICES), _sane(trades, ("price", "size")) if trades is not None else None, quotes)
-    t = tapes.with_bar_index(tapes.with_quotes(t, order), order)
-    trade, quote = F.col("kind") == "trade", F.col("kind") == "quote"
+    """One row a bar: its fields, bar_idx, and the aggregates of the ticks that it consumes.
+
+    Two rounds of windows share the order of the tape; the exponential mean takes one more sort, the bars none.
+    """
+    cols = tapes.order_columns(order)
+    whole = Window.partitionBy(*KEYS).orderBy(*cols)
+    past, upto = whole.rowsBetween(Window.unboundedPreceding, -1), so_far(whole)
+    trade, quote, at_bar = (F.col("kind") == k for k in ("trade", "quote", "bar"))
     mid = (F.col("bid") + F.col("ask")) / 2
     valid = quote & (mid > 0)
     depth = F.col("bid_size") + F.col("ask_size")
+    t = tapes.build(_sane(bars, PRICES), _sane(trades, ("price", "size")) if trades is not None else None, quotes)
     t = t.withColumns({
-        "_sign": F.when(trade, F.when(F.col("q_mid").isNull() | (F.col("price") >= F.col("q_mid")), 1.0).otherwise(-1.0)),
         "_spread": F.when(valid, (F.col("ask") - F.col("bid")) / mid * 1e4),
         "_imb": F.when(valid, F.coalesce(F.when(depth > 0, (F.col("bid_size") - F.col("ask_size")) / depth), F.lit(0.0))),
     })
-    cols = tapes.order_columns(order)
-    t = kernels.with_chunks(t, "_spread", KEYS, cols, "_quote_chunk")
+    t = t.withColumns({
+        "bar_idx": F.coalesce(F.sum("is_bar").over(past), F.lit(0)),
+        "_q": F.last(F.when(quote, F.struct(mid.alias("mid"), "bid", "ask", "bid_size", "ask_size")), ignorenulls=True).over(upto),
+        "_spreads": F.count("_spread").over(upto), "_closes": F.count(F.when(at_bar, F.col("close"))).over(upto),
+    })
+    now = F.when(valid, F.struct("ts_ns", "_spread", "_imb", "bar_idx"))
+    t = t.withColumns({
+        "_last": F.last(now, ignorenulls=True).over(upto), "_earlier": F.last(now, ignorenulls=True).over(past),
+        "_quote_chunk": kernels.chunk_of(F.col("_spreads")), "chunk": kernels.chunk_of(F.col("_closes")),
+    })
     t = kernels.with_ewma(t, {"_spread_ewma": ("_spread", QUOTE_SPAN)}, KEYS, cols, "_quote_chunk")
-    before = Window.partitionBy(*KEYS, "bar_idx").orderBy(*cols).rowsBetween(Window.unboundedPreceding, -1)
-    t = t.withColumn("_prev", F.when(valid, F.last(F.when(valid, F.struct("ts_ns", "_spread", "_imb")), ignorenulls=True).over(before)))
-    t = t.withColumn("_dt", F.when(F.col("_prev").isNotNull(), F.greatest(F.col("ts_ns") - F.col("_prev.ts_ns"), F.lit(0)).cast("double")))
-    t = t.withColumn("_last_spread", F.last("_spread", ignorenulls=True).over(so_far(Window.partitionBy(*KEYS).orderBy(*cols))))
-    at_bar = F.col("kind") == "bar"
-    position = F.struct(*cols)
+    same = valid & (F.col("_earlier.bar_idx") == F.col("bar_idx"))
+    gap = F.when(same, F.greatest(F.col("ts_ns") - F.col("_earlier.ts_ns"), F.lit(0)).cast("double"))
+    sign = F.when(F.col("_q.mid").isNull() | (F.col("price") >= F.col("_q.mid")), 1.0).otherwise(-1.0)
 
     def of_bar(c):
         return F.max(F.when(at_bar, F.col(c)))
 
     out = t.groupBy(*KEYS, "bar_idx").agg(
-        of_bar("ts_ns").alias("ts_ns"), *(of_bar(c).alias(c) for c in (*PRICES, "trade_count")),
+        of_bar("ts_ns").alias("ts_ns"), *(of_bar(c).alias(c) for c in (*PRICES, "trade_count", "chunk")),
         F.count(F.when(trade, 1)).alias("n_trades"), F.sum(F.when(trade, F.col("size"))).alias("size"),
         F.sum(F.when(trade, F.col("price") * F.col("size"))).alias("notional"),
-        F.sum(F.col("_sign") * F.col("size")).alias("signed"), F.max(F.when(trade, F.col("size"))).alias("top"),
+        F.sum(F.when(trade, sign * F.col("size"))).alias("signed"), F.max(F.when(trade, F.col("size"))).alias("top"),
         F.count(F.when(quote, 1)).alias("n_all_quotes"), F.count("_spread").alias("n_quotes"),
         F.min("_spread").alias("min_spread"), F.max("_spread").alias("max_spread"),
-        F.sum(F.col("_prev._spread") * F.col("_dt")).alias("spread_time"), F.sum(F.col("_prev._imb") * F.col("_dt")).alias("imb_time"), F.sum("_dt").alias("time"),
-        F.max_by("_spread", F.when(valid, position)).alias("end_spread"), F.max_by("_imb", F.when(valid, position)).alias("end_imb"),
-        *(of_bar(c).alias(c) for c in ("q_mid", "q_bid", "q_ask", "q_bid_size", "q_ask_size", "_spread_ewma", "_last_spread")),
+        F.sum(F.col("_earlier._spread") * gap).alias("spread_time"), F.sum(F.col("_earlier._imb") * gap).alias("imb_time"), F.sum(gap).alias("time"),
+        # the last valid quote of a session up to its bar is the bar's own one, if it has any
+        of_bar("_last._spread").alias("_last_spread"), of_bar("_last._imb").alias("end_imb"), of_bar("_spread_ewma").alias("_spread_ewma"),
+        *(of_bar(f"_q.{c}").alias(f"q_{c}") for c in ("mid", "bid", "ask", "bid_size", "ask_size")),
     )
-    out = out.where(F.col("ts_ns").isNotNull())
-    return kernels.with_chunks(out, "close", KEYS, ["bar_idx"], "chunk")
+    return out.where(F.col("ts_ns").isNotNull()).withColumn("end_spread", F.col("_last_spread"))
 
 
 def _w() -> WindowSpec:
