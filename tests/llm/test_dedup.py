@@ -179,6 +179,25 @@ def test_repeated_passages_of_nothing_and_of_repeated_rows(documents):
     assert sorted(r.n_removed for r in rows) == [0, 150]
 
 
+def test_rows_keep_their_numbers_when_files_are_split_otherwise(spark, documents, tmp_path):
+    rng = random.Random(5)
+    path = str(tmp_path / "split.parquet")
+    texts = [(i // 2 or None, "".join(rng.choice("abcdef ") for _ in range(300))) for i in range(4000)]
+    documents(texts, partitions=2).sortWithinPartitions("text").write.option("parquet.block.size", 1 << 16).parquet(path)
+    seen = {}
+    try:
+        for size in ("64k", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+            df = suffix_dedup.numbered(spark.read.parquet(path), "doc_id", "text")
+            seen[df.rdd.getNumPartitions()] = sorted((bytes(r.row), r.text) for r in df.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    few, many = (seen[n] for n in sorted(seen))
+    assert few == many and len({r for r, _ in few}) == len(texts)
+
+
 def test_levels_stay_logarithmic_and_find_the_earliest_start():
     rng = np.random.default_rng(2)
     family, first, at = suffix_dedup.LevelFamily(), {}, 0

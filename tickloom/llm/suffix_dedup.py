@@ -170,6 +170,14 @@ def _ids(meta: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(meta, "<i8"))
 
 
+#: Bytes of the key of a row (see numbered).
+KEY = 16
+
+
+def _keys(joined: bytes) -> list[bytes]:
+    return [joined[at : at + KEY] for at in range(0, len(joined), KEY)]
+
+
 NULL_ID = -(1 << 62)
 
 
@@ -214,7 +222,7 @@ def _send_segments(batches: Iterator[pa.RecordBatch], shards: list[int]) -> Iter
         ids = np.array([NULL_ID if r[1] is None else r[1] for r in rows], np.int64)
         places = s.number.astype(np.uint32) | np.where(s.periodic, OPEN, np.uint32(0))
         out = list(_deal(block, _orders(ids), (s.anchor % np.uint64(len(shards))).astype(np.int64), shards, s.doc, places, mix(s.anchor), s.whole))
-        own = np.array([r[0] for r in rows], "<i8").tobytes()
+        own = b"".join(r[0] for r in rows)
         n = np.bincount(s.doc, minlength=len(rows)).astype("<u4").tobytes()
         sizes = np.array([len(r[-1]) for r in rows], "<i8").tobytes()
         shas = b"".join(hashlib.sha256(r[-1]).digest() for r in rows)
@@ -280,14 +288,14 @@ def _match_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield _rows(out)
 
 
-MARKED = "row long, doc_id long, n_bytes long, sha binary, n_segments long, marks binary"
+MARKED = "row binary, doc_id long, n_bytes long, sha binary, n_segments long, marks binary"
 
 
 def _gather_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Step 1 in a block: the marks of each document (null without any)."""
 
     def done(own, docs, marks):
-        ids, rows = _ids(own[2]), np.frombuffer(own[3], "<i8")
+        ids, rows = _ids(own[2]), _keys(own[3])
         n, sizes = np.frombuffer(own[4], "<u4"), np.frombuffer(own[5], "<i8")
         doc, mark = (np.concatenate(x) if x else np.empty(0, np.uint32) for x in (docs, marks))
         order = np.argsort(doc, kind="stable")
@@ -295,7 +303,7 @@ def _gather_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         binary = [mark[order[a:z]].astype("<u4").tobytes() if z > a else None for a, z in zip(edges, edges[1:])]
         doc_ids = [None if i == NULL_ID else int(i) for i in ids]
         return pa.RecordBatch.from_arrays(
-            [pa.array(rows), pa.array(doc_ids, pa.int64()), pa.array(sizes), pa.array([own[6][32 * i : 32 * i + 32] for i in range(len(ids))], pa.binary()),
+            [pa.array(rows, pa.binary()), pa.array(doc_ids, pa.int64()), pa.array(sizes), pa.array([own[6][32 * i : 32 * i + 32] for i in range(len(ids))], pa.binary()),
              pa.array(n.astype(np.int64)), pa.array(binary, pa.binary())],
             ["row", "doc_id", "n_bytes", "sha", "n_segments", "marks"],
         )
@@ -334,7 +342,7 @@ def _send_suffixes(batches: Iterator[pa.RecordBatch], shards: list[int]) -> Iter
         meta = _orders(ids)
         out = list(_deal(block, meta, (mix(key) % np.uint64(len(shards))).astype(np.int64), shards, doc, where - edges[doc], key, None))
         spans = np.stack([s.doc[copy], s.start[copy] - edges[s.doc[copy]], s.count[copy]]).astype("<i8").tobytes()
-        out.append((shards[block % len(shards)], block, np.array([r[0] for r in rows], "<i8").tobytes(), None, None, None, spans, True))
+        out.append((shards[block % len(shards)], block, b"".join(r[0] for r in rows), None, None, None, spans, True))
         yield _rows(out)
 
 
@@ -416,21 +424,21 @@ def unite(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.stack([begin[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]], axis=1)
 
 
-REMOVED = "row long, runs binary"
+REMOVED = "row binary, runs binary"
 
 
 def _gather_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Step 3 in a block: the removed runs of each document."""
 
     def done(own, docs, places):
-        rows, spans = np.frombuffer(own[2], "<i8"), np.frombuffer(own[6], "<i8").reshape(3, -1)
+        rows, spans = _keys(own[2]), np.frombuffer(own[6], "<i8").reshape(3, -1)
         doc = np.concatenate([spans[0], *docs])
         start = np.concatenate([spans[1], *places])
         count = np.concatenate([spans[2], np.ones(len(doc) - spans.shape[1], np.int64)])
         order = np.argsort(doc, kind="stable")
         edges = np.searchsorted(doc[order], np.arange(len(rows) + 1))
         runs = [unite(start[order[a:z]], count[order[a:z]]).astype("<i8").tobytes() if z > a else b"" for a, z in zip(edges, edges[1:])]
-        return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(runs, pa.binary())], ["row", "runs"])
+        return pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(runs, pa.binary())], ["row", "runs"])
 
     own, docs, places = None, [], []
     for b in batches:
@@ -467,14 +475,24 @@ def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "runs"])
 
 
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """row (binary), doc_id and text of a plain scan of Parquet files.
+
+    A row is known by its file (64-bit hash of the path) and its place in it, however the files are split among tasks, so
+    scans of different jobs agree when executors come or go between them.
+    """
+    at = docs.metadataColumn("_metadata")
+    digits = [F.lpad(F.hex(x), KEY, "0") for x in (F.xxhash64(at["file_path"]), at["row_index"])]
+    return docs.select(F.unhex(F.concat(*digits)).alias("row"), F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+
+
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scan: bool = False) -> DataFrame:
     """The columns of RESULT for every row of docs.
 
-    scan: docs is a plain scan of files, which numbers its rows alike each time; else it is written first.
+    scan: docs is a plain scan of Parquet files, whose rows are known by file and place; else it is written first.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    docs = (docs if scan else cut(docs)).withColumn("row", F.monotonically_increasing_id())
+    docs = numbered(docs, id_col, text_col) if scan else numbered(cut(docs.select(id_col, text_col)), id_col, text_col)
     shards = shard_keys(spark)
     n = len(shards)
 
