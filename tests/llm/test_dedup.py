@@ -204,7 +204,7 @@ def test_levels_stay_logarithmic_and_find_the_earliest_start():
     for _ in range(100):
         keys = rng.integers(0, 3000, 50).astype(np.uint64)
         starts = np.arange(at, at + 50)
-        seen = family.add(keys, starts)
+        seen = family.add(keys, starts, np.zeros(50, np.uint32))
         for k, s in zip(keys.tolist(), starts.tolist()):
             first.setdefault(k, s)
         at += 50
@@ -212,6 +212,43 @@ def test_levels_stay_logarithmic_and_find_the_earliest_start():
         assert len(family.levels) <= 8
 
 
+def test_strings_of_one_key_are_told_apart_by_their_check():
+    rng = np.random.default_rng(3)
+    family, first, at = suffix_dedup.LevelFamily(), {}, 0
+    for n in [0, *rng.integers(1, 60, 80)]:
+        keys, checks = rng.integers(0, 8, n).astype(np.uint64), rng.integers(0, 6, n).astype(np.uint32)
+        starts = at + rng.permutation(n)
+        for pair, s in zip(zip(keys.tolist(), checks.tolist()), starts.tolist()):
+            first[pair] = min(s, first.get(pair, s))
+        seen = family.add(keys, starts, checks)
+        assert [first[p] for p in zip(keys.tolist(), checks.tolist())] == seen.tolist()
+        at += n
+    lone = suffix_dedup.LevelFamily()
+    lone.add(np.array([5], np.uint64), np.array([0]), np.array([1], np.uint32))
+    assert lone.earliest(np.array([5, 9], np.uint64), np.array([7, 7]), np.array([2, 1], np.uint32)).tolist() == [7, 7]
+
+
+def test_packed_numbers_come_back():
+    for kind, top in ((suffix_dedup.DOC, 1 << 16), (suffix_dedup.PLACE, 1 << 32)):
+        for n in (0, 1, 1000):
+            x = np.random.default_rng(n).integers(0, top, n).astype(kind)
+            assert (suffix_dedup.unpack(suffix_dedup.pack(x, kind), kind) == x).all()
+
+
+def test_order_numbers_follow_id_block_document_and_place():
+    rng = np.random.default_rng(6)
+    slices, blocks, rows = [], [], []
+    for block in (3, 1 << 33, 7):
+        ids = rng.integers(-3, 4, 20)
+        doc = np.sort(rng.integers(0, 20, 200))
+        place = rng.permutation(1 << 20)[:200]
+        slices.append((ids[doc], doc.astype(np.uint16), place.astype(np.uint32)))
+        blocks.append(block)
+        rows += list(zip(ids[doc].tolist(), [block] * 200, doc.tolist(), place.tolist()))
+    got = suffix_dedup.order_numbers(slices, blocks)
+    assert sorted(range(600), key=lambda i: rows[i]) == np.argsort(got, kind="stable").tolist()
+
+
 def test_measured_recall_counts_the_classes_that_met_none():
     assert near_dedup.measured_recall({}) == 0 and near_dedup.measured_recall({0: 50}) == 0
     assert near_dedup.measured_recall({16: 100}) == 1

@@ -10,13 +10,13 @@ still match are indexed:
    share it form a segment (35 strings on average).  Equal strings have equal anchors.  Documents send (anchor, segment
    hash) of their segments to the shard of the anchor.  A segment whose anchor occurs once is unique; one equal to an
    earlier segment of its anchor is a copy; the first of its kind among different ones of an anchor is open.
-2. Suffixes.  Only open segments send the suffixes that start in them, as 64-bit fingerprints of their first LENGTH
-   bytes, to shards.  There every batch (the rows of a block) becomes a sorted suffix array, is scanned by merging
+2. Suffixes.  Only open segments send the suffixes that start in them, as 96-bit fingerprints (two independent
+   hashes) of their first LENGTH bytes, to shards.  There every batch (the rows of a block) becomes a sorted suffix array, is scanned by merging
    against the existing levels for matches, and joins them; levels of equal size merge, so a shard keeps a logarithmic
    number of sorted arrays, each with the earliest start of a suffix.
 3. Copies and matched suffixes go back to their documents, where overlapping strings unite to the removed runs.
 
-Equality is that of 64-bit hashes (two of them in step 1).  A frequent passage costs its shard one hash an occurrence
+Equality is that of hashes: two of 64 bits in step 1, 96 bits in step 2.  A frequent passage costs its shard one hash an occurrence
 and nothing more: occurrences are never paired.
 
 Defined cases: a null or empty text has nothing removed; texts below LENGTH bytes stay; a null id counts as the
@@ -46,8 +46,10 @@ LONGEST = 512
 BLOCK_DOCS, BLOCK_BYTES = 1000, 1_500_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _BYTES = np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Base and byte values of a second, independent hash.
+_CHECK_BASE = np.uint64(0xD1B54A32D192ED03)
+_CHECK_BYTES = np.random.default_rng(12).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 OPEN = np.uint32(1 << 31)
 
 
@@ -60,26 +62,25 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Hasher:
     """Hashes of all substrings of one length by prefix sums modulo 2**64."""
 
-    up = np.ones(1, np.uint64)
-    down = np.ones(1, np.uint64)
+    powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, base: np.uint64 = _BASE, values: np.ndarray = _BYTES):
         n = len(data) + 1
-        if len(Hasher.up) < n:
-            size = 1 << n.bit_length()
-            for name, base in (("up", _BASE), ("down", _BACK)):
-                powers = np.full(size, base, np.uint64)
-                powers[0] = 1
-                setattr(Hasher, name, np.multiply.accumulate(powers))
+        if len(self.powers.get(int(base), ((), ()))[0]) < n:
+            both = np.full((2, 1 << n.bit_length()), base, np.uint64)
+            both[1] = pow(int(base), -1, 1 << 64)
+            both[:, 0] = 1
+            Hasher.powers[int(base)] = tuple(np.multiply.accumulate(both, axis=1))
+        up, self.down = self.powers[int(base)]
         self.sums = np.zeros(n, np.uint64)
-        np.cumsum(_BYTES[data] * Hasher.up[: n - 1], out=self.sums[1:])
+        np.cumsum(values[data] * up[: n - 1], out=self.sums[1:])
 
     def every(self, length: int) -> np.ndarray:
         n = len(self.sums) - length
-        return mix((self.sums[length:] - self.sums[:n]) * Hasher.down[:n]) if n > 0 else np.empty(0, np.uint64)
+        return mix((self.sums[length:] - self.sums[:n]) * self.down[:n]) if n > 0 else np.empty(0, np.uint64)
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * Hasher.down[starts] + (ends - starts).astype(np.uint64) * _BASE)
+        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64) * _BASE)
 
 
 def _window_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -151,6 +152,21 @@ class Segments:
         return out
 
 
+def pack(x: np.ndarray, kind: str) -> bytes:
+    """Whole numbers that mostly ascend, for a codec: their differences, first bytes first."""
+    d = np.diff(x.astype(kind), prepend=np.zeros(1, kind))
+    return np.ascontiguousarray(d.view(np.uint8).reshape(-1, d.itemsize).T).tobytes()
+
+
+def unpack(raw: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    d = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
+    return np.cumsum(d, dtype=kind)
+
+
+#: Kinds of document numbers in their block and of places in their document.
+DOC, PLACE = "<u2", "<u4"
+
 ROWS = "shard long, block long, meta binary, docs binary, places binary, keys binary, wholes binary, own boolean"
 _NAMES = [c.split()[0] for c in ROWS.split(", ")]
 _KINDS = [pa.int64(), pa.int64(), *[pa.binary()] * 5, pa.bool_()]
@@ -208,8 +224,8 @@ def _deal(block, meta, part, shards, docs, places, keys, wholes):
         at = order[edges[s] : edges[s + 1]]
         if len(at):
             yield (
-                shards[s], block, meta, docs[at].astype("<u2").tobytes(), places[at].astype("<u4").tobytes(),
-                keys[at].astype("<u8").tobytes(), None if wholes is None else wholes[at].astype("<u8").tobytes(), False,
+                shards[s], block, meta, pack(docs[at], DOC), pack(places[at], PLACE),
+                keys[at].astype("<u8").tobytes(), wholes[at].astype(wholes.dtype.newbyteorder("<")).tobytes(), False,
             )
 
 
@@ -255,8 +271,8 @@ def _match_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             continue
         key = np.concatenate([np.frombuffer(r[5], "<u8") for r in rows])
         whole = np.concatenate([np.frombuffer(r[6], "<u8") for r in rows])
-        doc = np.concatenate([np.frombuffer(r[3], "<u2") for r in rows])
-        place = np.concatenate([np.frombuffer(r[4], "<u4") for r in rows])
+        docs = [unpack(r[3], DOC) for r in rows]
+        doc, place = np.concatenate(docs), np.concatenate([unpack(r[4], PLACE) for r in rows])
         of = np.repeat(np.arange(len(rows)), [len(r[5]) // 8 for r in rows])
         order = np.argsort(key, kind="stable")
         same = key[order][1:] == key[order][:-1]
@@ -266,7 +282,7 @@ def _match_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         at = np.flatnonzero(twice | (place >= OPEN))
         if not len(at):
             continue
-        ids = np.concatenate([_ids(r[2])[np.frombuffer(r[3], "<u2")] for r in rows])[at]
+        ids = np.concatenate([_ids(r[2])[d] for r, d in zip(rows, docs)])[at]
         blocks = np.array([r[1] for r in rows])[of[at]]
         k, w, number = key[at], whole[at], place[at] & ~OPEN
         order = np.lexsort((number, doc[at], blocks, ids, w, k))
@@ -280,11 +296,11 @@ def _match_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         back = np.where(is_open, OPEN, np.uint32(0)) | (place[at] & ~OPEN)
         blocks = np.array([r[1] for r in rows])[of[at]]
         out = []
-        keep = keep[np.argsort(blocks[keep], kind="stable")]
+        keep = keep[np.lexsort((place[at[keep]] & ~OPEN, doc[at[keep]], blocks[keep]))]
         cuts = np.flatnonzero(np.diff(blocks[keep])) + 1
         for part in np.split(keep, cuts):
             if len(part):
-                out.append((0, int(blocks[part[0]]), None, doc[at[part]].astype("<u2").tobytes(), back[part].astype("<u4").tobytes(), None, None, False))
+                out.append((0, int(blocks[part[0]]), None, pack(doc[at[part]], DOC), pack(back[part], PLACE), None, None, False))
         yield _rows(out)
 
 
@@ -316,8 +332,8 @@ def _gather_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     yield done(own, docs, marks)
                 own, docs, marks = r, [], []
             else:
-                docs.append(np.frombuffer(r[3], "<u2"))
-                marks.append(np.frombuffer(r[4], "<u4"))
+                docs.append(unpack(r[3], DOC))
+                marks.append(unpack(r[4], PLACE))
     if own is not None:
         yield done(own, docs, marks)
 
@@ -327,8 +343,8 @@ def _send_suffixes(batches: Iterator[pa.RecordBatch], shards: list[int]) -> Iter
     from pyspark import TaskContext
 
     for block, rows in _collect(batches, 3, TaskContext.get().partitionId() << 32):
-        s = Segments(*_laid_out(rows))
-        edges = np.cumsum([0, *(len(r[-1]) for r in rows)])
+        data, edges = _laid_out(rows)
+        s = Segments(data, edges)
         firsts = np.searchsorted(s.doc, np.arange(len(rows) + 1))
         marks = [np.frombuffer(r[2], "<u4") for r in rows]
         mark = np.concatenate(marks)
@@ -338,35 +354,67 @@ def _send_suffixes(batches: Iterator[pa.RecordBatch], shards: list[int]) -> Iter
         where = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(s.start[free], n)
         doc = np.repeat(s.doc[free], n)
         key = s.hasher.of(where, where + LENGTH)
+        check = (Hasher(data, _CHECK_BASE, _CHECK_BYTES).of(where, where + LENGTH) >> np.uint64(32)).astype(np.uint32)
         ids = np.array([NULL_ID if r[1] is None else r[1] for r in rows], np.int64)
         meta = _orders(ids)
-        out = list(_deal(block, meta, (mix(key) % np.uint64(len(shards))).astype(np.int64), shards, doc, where - edges[doc], key, None))
+        out = list(_deal(block, meta, (mix(key) % np.uint64(len(shards))).astype(np.int64), shards, doc, where - edges[doc], key, check))
         spans = np.stack([s.doc[copy], s.start[copy] - edges[s.doc[copy]], s.count[copy]]).astype("<i8").tobytes()
         out.append((shards[block % len(shards)], block, b"".join(r[0] for r in rows), None, None, None, spans, True))
         yield _rows(out)
 
 
+Level = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
 class LevelFamily:
-    """Sorted suffix arrays of geometric sizes: fingerprints with the earliest start (an order number) of each."""
+    """Sorted suffix arrays of geometric sizes: fingerprints (64 bits by which they sort, 32 more to check) with the
+    earliest start (an order number) of each."""
 
     def __init__(self):
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        self.levels: list[Level] = []
 
     @staticmethod
-    def merge(a, b):
-        keys, starts = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
-        order = np.lexsort((starts, keys))
-        keys, starts = keys[order], starts[order]
-        first = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
-        return keys[first], starts[first]
-
-    def add(self, keys: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """The earliest start of each suffix so far, of its own batch and the levels, before and after it."""
-        batch = self.merge((keys, starts), (keys[:0], starts[:0]))
-        seen = batch[1][np.searchsorted(batch[0], keys)]
+    def merge(a: Level, b: Level) -> Level:
+        keys, starts, checks = (np.concatenate(x) for x in zip(a, b))
+        if not len(keys):
+            return keys, starts, checks
+        order = np.argsort(keys, kind="stable")  # takes two sorted runs in linear time
+        same = keys[order][1:] == keys[order][:-1]
+        if (same & (checks[order][1:] != checks[order][:-1])).any():  # two strings of one key: seldom
+            order = np.lexsort((checks, keys))
+        keys, checks = keys[order], checks[order]
+        first = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (checks[1:] != checks[:-1])))
+        return keys[first], np.minimum.reduceat(starts[order], first), checks[first]
+
+    @staticmethod
+    def find(level: Level, keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each suffix stands in a level that isn't empty, and whether it does."""
+        last = len(level[0]) - 1
+        at = np.minimum(np.searchsorted(level[0], keys), last)
+        hit = level[0][at] == keys
+        todo = np.flatnonzero(hit & (level[2][at] != checks))
+        while len(todo):  # on through the strings of one key
+            after = np.minimum(at[todo] + 1, last)
+            more = (after > at[todo]) & (level[0][after] == keys[todo])
+            hit[todo[~more]] = False
+            todo = todo[more]
+            at[todo] += 1
+            todo = todo[level[2][at[todo]] != checks[todo]]
+        return at, hit
+
+    def earliest(self, keys: np.ndarray, starts: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """The smaller of starts and the earliest start of each suffix in the levels."""
         for level in self.levels:
-            at = np.minimum(np.searchsorted(level[0], keys), len(level[0]) - 1)
-            seen = np.where(level[0][at] == keys, np.minimum(seen, level[1][at]), seen)
+            at, hit = self.find(level, keys, checks)
+            starts = np.where(hit, np.minimum(starts, level[1][at]), starts)
+        return starts
+
+    def add(self, keys: np.ndarray, starts: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """The earliest start of each suffix so far, of its own batch and the levels, before and after it."""
+        if not len(keys):
+            return starts
+        batch = self.merge((keys, starts, checks), (keys[:0], starts[:0], checks[:0]))
+        seen = self.earliest(keys, batch[1][self.find(batch, keys, checks)[0]], checks)
         self.levels.append(batch)
         while len(self.levels) > 1 and len(self.levels[-1][0]) * 2 > len(self.levels[-2][0]):
             last = self.levels.pop()
@@ -374,6 +422,18 @@ class LevelFamily:
         return seen
 
 
+def order_numbers(slices: list[tuple[np.ndarray, np.ndarray, np.ndarray]], blocks: list[int]) -> np.ndarray:
+    """Numbers in the order of (id, block, document, place), from (ids, documents, places) of each slice of a block, in
+    which a document's rows are neighbours: the documents are ranked, their places stand below."""
+    ids, docs = (np.concatenate([x[i] for x in slices]) for i in (0, 1))
+    block = np.repeat(blocks, [len(x[0]) for x in slices])
+    new = np.append(True, (docs[1:] != docs[:-1]) | (block[1:] != block[:-1]))
+    first = np.flatnonzero(new)
+    rank = np.empty(len(first), np.int64)
+    rank[np.lexsort((docs[first], block[first], ids[first]))] = np.arange(len(first))
+    return (rank[np.cumsum(new) - 1] << 32) | np.concatenate([x[2] for x in slices]).astype(np.int64)
+
+
 def _match_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Step 2 in a shard: the suffixes that also start earlier, back to their blocks.
 
@@ -387,32 +447,24 @@ def _match_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         rows = [r for r in rows if not r[7]]
         if not rows:
             continue
-        ids = [_ids(r[2])[np.frombuffer(r[3], "<u2")] for r in rows]
-        rows = [(r, i) for r, i in sorted(zip(rows, ids), key=lambda x: (x[1].min(), x[0][1]))]
-        doc = np.concatenate([np.frombuffer(r[3], "<u2") for r, _ in rows])
-        place = np.concatenate([np.frombuffer(r[4], "<u4") for r, _ in rows])
-        block = np.repeat([r[1] for r, _ in rows], [len(i) for _, i in rows])
-        order = np.lexsort((place, doc, block, np.concatenate([i for _, i in rows])))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        family, begin = LevelFamily(), 0
-        seen = []
-        for r, i in rows:
-            end = begin + len(i)
-            seen.append(family.add(np.frombuffer(r[5], "<u8"), rank[begin:end]))
-            begin = end
-        earlier = np.concatenate(seen) < rank
+        slices = [(unpack(r[3], DOC), unpack(r[4], PLACE)) for r in rows]
+        slices = [(_ids(r[2])[d], d, p) for r, (d, p) in zip(rows, slices)]
+        order = sorted(range(len(rows)), key=lambda j: (slices[j][0].min(), rows[j][1]))
+        rows, slices = [rows[j] for j in order], [slices[j] for j in order]
+        number = order_numbers(slices, [r[1] for r in rows])
+        ends = np.cumsum([0, *(len(x[0]) for x in slices)])
+        family, seen = LevelFamily(), []
+        for r, a, z in zip(rows, ends, ends[1:]):
+            seen.append(family.add(np.frombuffer(r[5], "<u8"), number[a:z], np.frombuffer(r[6], "<u4")))
+        earlier = np.concatenate(seen) < number
         late = np.flatnonzero(~earlier)
-        keys = np.concatenate([np.frombuffer(r[5], "<u8") for r, _ in rows])[late]
-        for level in family.levels:
-            at = np.minimum(np.searchsorted(level[0], keys), len(level[0]) - 1)
-            earlier[late] |= (level[0][at] == keys) & (level[1][at] < rank[late])
-        out, begin = [], 0
-        for r, i in rows:
-            hit = np.flatnonzero(earlier[begin : begin + len(i)]) + begin
-            begin += len(i)
+        keys, checks = (np.concatenate([np.frombuffer(r[i], kind) for r in rows])[late] for i, kind in ((5, "<u8"), (6, "<u4")))
+        earlier[late] = family.earliest(keys, number[late], checks) < number[late]
+        out = []
+        for r, (_, doc, place), a, z in zip(rows, slices, ends, ends[1:]):
+            hit = np.flatnonzero(earlier[a:z])
             if len(hit):
-                out.append((0, r[1], None, doc[hit].astype("<u2").tobytes(), place[hit].astype("<u4").tobytes(), None, None, False))
+                out.append((0, r[1], None, pack(doc[hit], DOC), pack(place[hit], PLACE), None, None, False))
         yield _rows(out)
 
 
@@ -448,8 +500,8 @@ def _gather_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield done(own, docs, places)
                 own, docs, places = r, [], []
             else:
-                docs.append(np.frombuffer(r[3], "<u2").astype(np.int64))
-                places.append(np.frombuffer(r[4], "<u4").astype(np.int64))
+                docs.append(unpack(r[3], DOC).astype(np.int64))
+                places.append(unpack(r[4], PLACE).astype(np.int64))
     if own is not None:
         yield done(own, docs, places)
 
