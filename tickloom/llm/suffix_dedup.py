@@ -46,9 +46,9 @@ LONGEST = 512
 BLOCK_DOCS, BLOCK_BYTES = 1000, 1_500_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _BYTES = np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-#: Base and byte values of a second, independent hash.
-_CHECK_BASE = np.uint64(0xD1B54A32D192ED03)
+#: Byte values of a second hash, drawn independently; the powers are those of the first.
 _CHECK_BYTES = np.random.default_rng(12).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 OPEN = np.uint32(1 << 31)
 
@@ -62,23 +62,31 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Hasher:
     """Hashes of all substrings of one length by prefix sums modulo 2**64."""
 
-    powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    powers = np.ones((2, 1), np.uint64)
 
-    def __init__(self, data: np.ndarray, base: np.uint64 = _BASE, values: np.ndarray = _BYTES):
+    def __init__(self, data: np.ndarray, values: np.ndarray = _BYTES):
         n = len(data) + 1
-        if len(self.powers.get(int(base), ((), ()))[0]) < n:
-            both = np.full((2, 1 << n.bit_length()), base, np.uint64)
-            both[1] = pow(int(base), -1, 1 << 64)
-            both[:, 0] = 1
-            Hasher.powers[int(base)] = tuple(np.multiply.accumulate(both, axis=1))
-        up, self.down = self.powers[int(base)]
+        if self.powers.shape[1] < n:
+            powers = np.empty((2, max(n, BLOCK_BYTES + 1)), np.uint64)
+            powers[0], powers[1], powers[:, 0] = _BASE, _BACK, 1
+            Hasher.powers = np.multiply.accumulate(powers, axis=1, out=powers)
+        up, self.down = self.powers
         self.sums = np.zeros(n, np.uint64)
-        np.cumsum(values[data] * up[: n - 1], out=self.sums[1:])
+        np.multiply(values[data], up[: n - 1], out=self.sums[1:])
+        np.cumsum(self.sums, out=self.sums)
 
     def every(self, length: int) -> np.ndarray:
         n = len(self.sums) - length
         return mix((self.sums[length:] - self.sums[:n]) * self.down[:n]) if n > 0 else np.empty(0, np.uint64)
 
+    def strings(self, starts: np.ndarray) -> np.ndarray:
+        """The hashes of the LENGTH bytes from each start, some at a time."""
+        out = np.empty(len(starts), np.uint64)
+        for a in range(0, len(starts), 1 << 17):
+            part = starts[a : a + (1 << 17)]
+            out[a : a + len(part)] = self.of(part, part + LENGTH)
+        return out
+
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64) * _BASE)
 
@@ -353,8 +361,9 @@ def _send_suffixes(batches: Iterator[pa.RecordBatch], shards: list[int]) -> Iter
         n = s.count[free]
         where = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(s.start[free], n)
         doc = np.repeat(s.doc[free], n)
-        key = s.hasher.of(where, where + LENGTH)
-        check = (Hasher(data, _CHECK_BASE, _CHECK_BYTES).of(where, where + LENGTH) >> np.uint64(32)).astype(np.uint32)
+        key = s.hasher.strings(where)
+        s.hasher = None
+        check = (Hasher(data, _CHECK_BYTES).strings(where) >> np.uint64(32)).astype(np.uint32)
         ids = np.array([NULL_ID if r[1] is None else r[1] for r in rows], np.int64)
         meta = _orders(ids)
         out = list(_deal(block, meta, (mix(key) % np.uint64(len(shards))).astype(np.int64), shards, doc, where - edges[doc], key, check))
