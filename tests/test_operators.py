@@ -81,6 +81,13 @@ def test_distributions_and_histograms(spark):
     assert (r.own, r.within) == (5.0, True)
 
 
+def test_coverage_of_days_with_gaps(spark):
+    rows = [("2026-06-22", "A"), ("2026-06-22", "B"), ("2026-06-22", "C"), ("2026-06-23", "B"), ("2026-06-23", "B"), ("2026-06-24", "A"), ("2026-06-24", "C")]
+    got = stats.coverage(spark.createDataFrame(rows, "date string, ticker string")).collect()
+    assert [(r.date, r.tickers, r.level) for r in got] == [("2026-06-24", 2, 170), ("2026-06-23", 1, 85), ("2026-06-22", 3, 255)]
+    assert stats.coverage(spark.createDataFrame([], "date string, ticker string")).count() == 0
+
+
 def test_shards_are_stable_and_cover(spark):
     import zlib
 

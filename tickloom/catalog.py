@@ -195,7 +195,7 @@ def etf_like(spark, sf_dir):
 
 
 def coverage_matrix(spark, sf_dir):
-    return stats.coverage(bars(spark, sf_dir).where("trade_count % 3 != 0").select(F.col("session_date").cast("string").alias("date"), "ticker"))
+    return stats.coverage(bars(spark, sf_dir).select(F.col("session_date").cast("string").alias("date"), "ticker"))
 
 
 def latency_percentiles(spark, sf_dir):
@@ -400,7 +400,7 @@ ORACLE: dict[str, str] = {
     "structural_filter": f"{_ASSETS} SELECT symbol, exchange FROM f WHERE tradable AND exchange IN ('NASDAQ', 'NYSE', 'AMEX', 'ARCA', 'BATS') AND NOT contains(symbol, '/') AND NOT is_fund",
     "etf_like": f"{_ASSETS} SELECT symbol, is_fund FROM f",
     "coverage_matrix": _ev(
-        ", p AS (SELECT DISTINCT CAST(d AS VARCHAR) AS date, ticker FROM br WHERE trade_count % 3 != 0) SELECT date, count(*) AS tickers, "
+        ", p AS (SELECT DISTINCT CAST(d AS VARCHAR) AS date, ticker FROM br) SELECT date, count(*) AS tickers, "
         "CAST(round_even(255.0 * count(*) / (SELECT greatest(count(DISTINCT ticker), 1) FROM p), 0) AS BIGINT) AS level FROM p GROUP BY date"
     ),
     "latency_percentiles": _ev(
