@@ -28,7 +28,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import table
+from tickloom.llm.common import cut, table
 
 #: (host, path, verdict) of the query.
 RULES = [
@@ -175,7 +175,7 @@ def judge_by_join(parts: DataFrame, rules: DataFrame) -> DataFrame:
     prefixes = F.transform(
         F.filter(known.cast("array<int>"), lambda n: n <= F.length("path")), lambda n: F.substring("path", F.lit(1), n)
     )
-    row = parts.withColumn("row", F.monotonically_increasing_id())
+    row = cut(parts.withColumn("row", F.monotonically_increasing_id()))  # numbered once: both sides read the same rows
     keyed = row.where("host != ''").select("row", F.explode(suffixes).alias("rule_host"), prefixes.alias("p"))
     keyed = keyed.select("row", "rule_host", F.explode("p").alias("rule_path"))
     once = rules.groupBy("rule_host", "rule_path").agg(F.max("rule_verdict").alias("rule_verdict"))  # block before allow
