@@ -139,6 +139,55 @@ def test_fingerprints_match_brute_force(documents):
     assert fingerprint.compare_with_next(documents([(5, "alone here")])).first().near_next == 1.0
 
 
+def test_next_documents_of_repeated_and_missing_ids(spark):
+    """Hot ids fill several ranges; the order is by id, descending, then by the hash of the text, and other columns may clash."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(16)
+    rows = [(rng.choice([None, 7, 7, 7, 10**9, -(2**63), 2**63 - 1, i]), f"text {rng.randrange(150)} of {rng.randrange(9)}", "a", 1) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, slot string, `range` int").repartition(5)
+    ties = {r.text: r.tie for r in docs.select("text", F.xxhash64("text").alias("tie")).collect()}
+    order = sorted(((i, t) for i, t, *_ in rows), key=lambda r: (-r[0] if r[0] is not None else 2**63, ties[r[1]]))
+    sampler = fingerprint.WeightedSampler.shared()
+    want = Counter()
+    for k, (i, t) in enumerate(order):
+        following = order[(k + 1) % len(order)][1]
+        want[i, fingerprint.to_string(sampler.of_text(t)), hashlib.sha256(fingerprint.edited_text(t, following).encode()).hexdigest()] += 1
+    got = fingerprint.compare_with_next(docs).collect()
+    assert Counter((r.doc_id, r.fingerprint, r.edited_sha256) for r in got) == want
+
+
+def test_slots_rise_with_the_key_and_split_hot_keys(spark):
+    from pyspark.sql import functions as F
+
+    edges = [1, 5, 5, 5, 5, 9, 9, 12]
+    rows = [(k, h) for k in range(15) for h in (-(2**63), -(2**62) - 1, -5, 0, 2**62, 2**63 - 1)]
+    df = spark.createDataFrame(rows, "k long, h long").withColumn("slot", fingerprint._slot(F.col("k"), F.col("h"), edges))
+    by_order = [(r.k, r.slot) for r in sorted(df.collect(), key=lambda r: (r.k, -r.h))]
+    assert [s for _, s in by_order] == sorted(s for _, s in by_order)
+    assert len({s for k, s in by_order if k == 5}) == 4 and len({s for k, s in by_order if k == 9}) == 2
+    assert len({s for k, s in by_order if k in (2, 3, 4)}) == 1
+
+
+def test_ranges_hold_about_equal_weights():
+    rng = random.Random(3)
+    for n in (1, 2, 7, 50):
+        slots = [(3 * s, rng.choice([1, 5, 400])) for s in range(8 * n)]
+        ranges = fingerprint._ranges(slots, n)
+        assert [ranges[s] for s, _ in slots] == sorted(ranges.values()) and 0 <= min(ranges.values()) and max(ranges.values()) < n
+        sums = Counter()
+        for s, w in slots:
+            sums[ranges[s]] += w
+        assert max(sums.values()) <= sum(w for _, w in slots) / n + 400
+
+
+def test_texts_of_very_many_words_have_no_forced_collisions():
+    """200,000 and 300,000 words, more than a table has rows: likeness estimates their Jaccard similarity all the same."""
+    sampler = fingerprint.WeightedSampler(seed=1, samples=256)
+    a, b = (sampler.signature(dict.fromkeys((f"w{k}" for k in range(*r)), 1)) for r in ((0, 200_000), (100_000, 300_000)))
+    assert fingerprint.likeness(a, b) == pytest.approx(1 / 3, abs=0.12)
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 5, 30])
 def test_ranges_count_the_edges_below(spark, n):
     from pyspark.sql import functions as F

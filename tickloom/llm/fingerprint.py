@@ -9,16 +9,19 @@ and the sample is the (term, t) of the smallest a.  Two texts agree in a sample
 generalised Jaccard similarity sum(min) / sum(max), so the share of equal samples estimates it; a fingerprint keeps 16
 bits of each of SAMPLES samples.
 
-The random triples come from a table of 2**16 of them that term and sample index by a hash; a and t are tabulated for
-the weights up to TABLED, so a sample of a term costs a multiplication and a lookup.
+The random numbers come from two tables of 2**16 rows, (r, beta) and c, that 32 bits of a hash of term and sample index,
+16 bits each, so that two terms share a triple with a probability of 2**-32, however many words a text has.  a and t are
+tabulated for the weights up to TABLED: a sample of a term costs a product and two lookups.
 
-Each document is also compared with the next one by descending id.  Documents are dealt by id ranges of equal size and
-sorted inside them; the first document of a range is sent to the range before it as well, so the texts move once and no
-task sees more than its range.
+Each document is also compared with the next one by descending id.  Documents are put into slots by quantiles of their
+ids (the rows of an id that fills several quantiles into slots by the hash of their text), and neighbouring slots are
+joined into ranges of about equal bytes, which are sorted.  The first document of a range is sent to the range before it
+as well, so the texts move once and no task sees more than its range.
 
 Defined cases: a null or empty text has no words and the fingerprint of the empty text; two texts without words are
-alike (1.0); a null id comes last; rows of equal id are ordered by a hash of their text; a single document is its own
-next one; an empty table gives an empty result.
+alike (1.0); a null id comes last; rows of equal id are ordered by a hash of their text (so rows of equal id and text
+lie in one range, which handles them one by one); a very long text is handled whole, CHUNK words at once; other columns
+are left alone, whatever their names; a single document is its own next one; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -54,6 +57,7 @@ class WeightedSampler:
         self.r, self.c, self.beta = rng.gamma(2.0, size=n), rng.gamma(2.0, size=n), rng.random(n)
         a, t = zip(*(self.sample(np.float64(w), slice(None)) for w in range(1, TABLED + 1)))
         self.a, self.t = np.concatenate(a).astype(np.float32), np.concatenate(t).astype(np.int32)
+        self.c = self.c.astype(np.float32)
         self.odd = rng.integers(0, 1 << 63, samples, np.uint64) * np.uint64(2) + np.uint64(1)
         self.add = rng.integers(0, 1 << 63, samples, np.uint64)
         self.samples = samples
@@ -65,9 +69,10 @@ class WeightedSampler:
         return cls._open[0]
 
     def sample(self, w, at):
+        """a without its factor c, and t."""
         r, beta = self.r[at], self.beta[at]
         t = np.floor(np.log(w) / r + beta)
-        return self.c[at] * np.exp(-r * (t - beta) - r), t
+        return np.exp(-r * (t - beta) - r), t
 
     def signature(self, weights: dict[str, int]) -> np.ndarray:
         """16 bits of each sample, as unsigned integers."""
@@ -82,13 +87,15 @@ class WeightedSampler:
         for begin in range(0, len(h), CHUNK):
             part = order[begin : begin + CHUNK]
             hp, wp = h[part], w[part]
-            row = ((hp[:, None] * self.odd + self.add) >> np.uint64(48)).astype(np.int32)
-            tabled = row + ((np.minimum(wp, TABLED) - 1).astype(np.int32) << 16)[:, None]
-            a = self.a[tabled]
+            mixed = hp[:, None] * self.odd + self.add
+            row = (mixed >> np.uint64(48)).astype(np.int64)
+            tabled = row + ((np.minimum(wp, TABLED) - 1) << 16)[:, None]
+            a = self.a.take(tabled)
             big = np.flatnonzero(wp > TABLED)
             if len(big):
                 a_big, t_big = self.sample(wp[big][:, None].astype(float), row[big])
                 a[big] = a_big
+            a *= self.c.take(((mixed >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.int64))
             at = a.argmin(axis=0)
             found = a[at, k]
             t = self.t[tabled[at, k]]
@@ -167,34 +174,72 @@ def _edges_below(key: Column, edges: list[int]) -> Column:
     return F.when(c == 0, 0).otherwise((c - 1) * step + F.size(F.filter(group, lambda e: e < key)))
 
 
+#: Slots a range: the more, the closer the ranges come to equal bytes.
+SLOTS = 8
+#: What a row weighs beside the bytes of its text.
+ROW_BYTES = 200
+
+
+def _slot(key: Column, tie: Column, edges: list[int]) -> Column:
+    """Numbers that rise with key and, for a key that is m > 1 of the edges, fall with tie in m steps."""
+    own = sorted(set(edges))
+    if not own:
+        return F.lit(0).cast("long")
+    most = max(edges.count(e) for e in own) if len(own) < len(edges) else 1
+    place = _edges_below(key, own).cast("long")
+    if most == 1:
+        return place
+    often = {e: m for e, m in Counter(edges).items() if m > 1}
+    names, counts = F.lit(",".join(map(str, often))), F.lit(",".join(map(str, often.values())))
+    at = F.array_position(F.split(names, ",").cast("array<bigint>"), key)
+    m = F.when(at > 0, F.element_at(F.split(counts, ",").cast("array<bigint>"), F.greatest(at, F.lit(1)).cast("int"))).otherwise(0)
+    step = F.shiftright((F.shiftright(tie, 33) + (1 << 30)) * m, 31)
+    return place * (most + 1) + F.when(m > 0, m - step).otherwise(0)
+
+
+def _ranges(slots: list[tuple[int, int]], n: int) -> dict[int, int]:
+    """At most n ranges of neighbouring slots of about equal weight; slots: (slot, weight)."""
+    total, before, out = sum(w for _, w in slots), 0, {}
+    for slot, w in sorted(slots):
+        out[slot] = min(n - 1, (2 * before + w) * n // (2 * total))  # by the middle of the slot
+        before += w
+    return out
+
+
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness, in the columns of COMPARED."""
     spark = docs.sparkSession
     places = shard_keys(spark)
     n = len(places)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    shares = [(j + 1) / n for j in range(n - 1)]
-    edges = sorted(set(d.select(key.alias("key")).agg(F.percentile_approx("key", F.array(*map(F.lit, shares)), 20 * n)).first()[0] or [])) if n > 1 else []
-    # range j holds the keys up to edges[j]
-    d = d.withColumn("key", key).withColumn("range", _edges_below(key, edges).cast("int"))
-    heads = {r["range"]: r["key"] for r in d.groupBy("range").agg(F.max("key").alias("key")).collect()}  # a row a range
-    used = sorted(heads)
+    d = d.withColumns({"key": F.coalesce("doc_id", F.lit(-(1 << 63))), "tie": F.xxhash64("text")})
+    k = SLOTS * n
+    shares = [(j + 1) / k for j in range(k - 1)]
+    edges = list(d.agg(F.percentile_approx("key", F.array(*map(F.lit, shares)), 20 * n)).first()[0] or [])
+    d = d.withColumn("slot", _slot(F.col("key"), F.col("tie"), edges))
+    weight = F.sum(F.octet_length("text").cast("long") + ROW_BYTES)
+    # a row a slot; the head of a slot is its first document
+    heads = {r["slot"]: r for r in d.groupBy("slot").agg(weight.alias("weight"), F.max(F.struct("key", (-1 - F.col("tie")).alias("tie"))).alias("head")).collect()}
+    ranges = _ranges([(r["slot"], r["weight"]) for r in heads.values()], n)
+    tops = {ranges[slot]: slot for slot in sorted(ranges)}  # the slot that a range begins with
+    used = sorted(tops)
     # the first document of a range follows the last one of the next higher range, and the very first that of the lowest
-    follows = [(heads[j], used[(i + 1) % len(used)]) for i, j in enumerate(used)]
-    heads_df = F.broadcast(spark.createDataFrame(follows, "head long, also int"))
+    also = {tops[j]: used[(i + 1) % len(used)] for i, j in enumerate(used)}
+    rows = [(slot, j, heads[slot]["head"]["key"], -1 - heads[slot]["head"]["tie"], also.get(slot)) for slot, j in ranges.items()]
+    slots = F.broadcast(spark.createDataFrame(rows, "slot long, range int, head long, head_tie long, also int"))  # some rows a range
     place = F.element_at(F.array(*map(F.lit, places)), F.col("to.range") + 1)
+    is_head = (F.col("key") == F.col("head")) & (F.col("tie") == F.col("head_tie"))
     sent = (
-        d.join(heads_df, F.col("key") == F.col("head"), "left")
+        d.join(slots, "slot")
         .withColumn("to", F.explode(F.filter(
-            F.array(F.struct(F.col("range"), F.lit(0).alias("extra")), F.struct(F.col("also").alias("range"), F.lit(1).alias("extra"))),
+            F.array(F.struct(F.col("range"), F.lit(0).alias("extra")), F.struct(F.when(is_head, F.col("also")).alias("range"), F.lit(1).alias("extra"))),
             lambda x: x["range"].isNotNull(),
         )))
-        .select(place.alias("place"), F.col("to.extra").alias("extra"), "doc_id", "text", "key")
+        .select(place.alias("place"), F.col("to.extra").alias("extra"), "doc_id", "text", "key", "tie")
     )
     return (
         sent.repartition(n, "place")
-        .sortWithinPartitions("place", "extra", F.col("key").desc(), F.xxhash64("text"))
+        .sortWithinPartitions("place", "extra", F.col("key").desc(), "tie")
         .select("place", "extra", "doc_id", "text")
         .mapInArrow(_compare, COMPARED)
     )
