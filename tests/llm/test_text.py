@@ -157,6 +157,16 @@ def test_next_documents_of_repeated_and_missing_ids(spark):
     assert Counter((r.doc_id, r.fingerprint, r.edited_sha256) for r in got) == want
 
 
+def test_every_range_has_a_task_of_its_own(spark):
+    """As many tasks as ranges have rows, and none more than about its share of the bytes."""
+    docs = spark.range(4000).selectExpr("id doc_id", "repeat('word ', cast(1 + pmod(id * 7, 90) as int)) text")
+    n = len(fingerprint.shard_keys(spark))
+    out = fingerprint.compare_with_next(docs).selectExpr("spark_partition_id() p", "n_chars").groupBy("p").agg({"n_chars": "sum", "*": "count"}).collect()
+    assert len(out) == n
+    total = sum(r["sum(n_chars)"] for r in out)
+    assert max(r["sum(n_chars)"] for r in out) < 1.5 * total / n
+
+
 def test_slots_rise_with_the_key_and_split_hot_keys(spark):
     from pyspark.sql import functions as F
 

@@ -227,7 +227,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     also = {tops[j]: used[(i + 1) % len(used)] for i, j in enumerate(used)}
     rows = [(slot, j, heads[slot]["head"]["key"], -1 - heads[slot]["head"]["tie"], also.get(slot)) for slot, j in ranges.items()]
     slots = F.broadcast(spark.createDataFrame(rows, "slot long, range int, head long, head_tie long, also int"))  # some rows a range
-    place = F.element_at(F.array(*map(F.lit, places)), F.col("to.range") + 1)
+    place = F.element_at(F.array(*map(F.lit, places)).cast("array<bigint>"), F.col("to.range") + 1)  # a hash tells int from long
     is_head = (F.col("key") == F.col("head")) & (F.col("tie") == F.col("head_tie"))
     sent = (
         d.join(slots, "slot")
