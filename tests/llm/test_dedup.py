@@ -179,6 +179,21 @@ def test_repeated_passages_of_nothing_and_of_repeated_rows(documents):
     assert sorted(r.n_removed for r in rows) == [0, 150]
 
 
+def test_copies_in_a_block_are_all_but_the_earliest():
+    rng = np.random.default_rng(21)
+    for _ in range(20):
+        n = int(rng.integers(0, 300))
+        doc = np.sort(rng.integers(0, 30, n))
+        ids = rng.integers(-5, 20, 30)
+        anchor, whole = rng.integers(0, 9, n).astype(np.uint64), rng.integers(0, 6, n).astype(np.uint64)
+        got = suffix_dedup._copies_in_block(anchor, whole, doc, ids)
+        seen, want = set(), [False] * n
+        for k in sorted(range(n), key=lambda k: (ids[doc[k]], doc[k], k)):
+            want[k] = (anchor[k], whole[k]) in seen
+            seen.add((anchor[k], whole[k]))
+        assert got.tolist() == want
+
+
 def test_rows_keep_their_numbers_when_files_are_split_otherwise(spark, documents, tmp_path):
     rng = random.Random(5)
     path = str(tmp_path / "split.parquet")

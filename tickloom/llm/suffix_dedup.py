@@ -7,8 +7,8 @@ A suffix array of every byte would be many times the corpus, so suffixes are sam
 still match are indexed:
 
 1. Segments.  Each LENGTH-byte string has as its anchor the smallest hash of its GRAM-byte substrings; neighbours that
-   share it form a segment (35 strings on average).  Equal strings have equal anchors.  Documents send (anchor, segment
-   hash) of their segments to the shard of the anchor.  A segment whose anchor occurs once is unique; one equal to an
+   share it form a segment (35 strings on average).  Equal strings have equal anchors.  Blocks of documents send (anchor,
+   segment hash) of their segments, the earliest of equal ones only, to the shard of the anchor; the others are copies.  A segment whose anchor occurs once is unique; one equal to an
    earlier segment of its anchor is a copy; the first of its kind among different ones of an anchor is open.
 2. Suffixes.  Only open segments send the suffixes that start in them, as 96-bit fingerprints (two independent
    hashes) of their first LENGTH bytes, to shards.  There every batch (the rows of a block) becomes a sorted suffix array, is scanned by merging
@@ -16,8 +16,8 @@ still match are indexed:
    number of sorted arrays, each with the earliest start of a suffix.
 3. Copies and matched suffixes go back to their documents, where overlapping strings unite to the removed runs.
 
-Equality is that of hashes: two of 64 bits in step 1, 96 bits in step 2.  A frequent passage costs its shard one hash an occurrence
-and nothing more: occurrences are never paired.
+Equality is that of hashes: two of 64 bits in step 1, 96 bits in step 2.  A frequent passage costs its shard one hash a block that
+holds it (of BLOCK_DOCS documents or BLOCK_BYTES) and nothing more: occurrences are never paired.
 
 Defined cases: a null or empty text has nothing removed; texts below LENGTH bytes stay; a null id counts as the
 smallest; of rows repeated with their id the one read first counts as earlier; an empty table gives an empty result;
@@ -237,6 +237,15 @@ def _deal(block, meta, part, shards, docs, places, keys, wholes):
             )
 
 
+def _copies_in_block(anchor: np.ndarray, whole: np.ndarray, doc: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which segments equal an earlier one of their block; they come by document and place."""
+    first = np.argsort(ids[doc], kind="stable")
+    order = first[np.lexsort((whole[first], anchor[first]))]
+    out = np.zeros(len(anchor), bool)
+    out[order[1:]] = (anchor[order][1:] == anchor[order][:-1]) & (whole[order][1:] == whole[order][:-1])
+    return out
+
+
 def _send_segments(batches: Iterator[pa.RecordBatch], shards: list[int]) -> Iterator[pa.RecordBatch]:
     """Step 1, from (row, doc_id, text): segments to the shard of their anchor, and a row of each block for itself."""
     from pyspark import TaskContext
@@ -245,9 +254,13 @@ def _send_segments(batches: Iterator[pa.RecordBatch], shards: list[int]) -> Iter
         s = Segments(*_laid_out(rows))
         ids = np.array([NULL_ID if r[1] is None else r[1] for r in rows], np.int64)
         places = s.number.astype(np.uint32) | np.where(s.periodic, OPEN, np.uint32(0))
-        out = list(_deal(block, _orders(ids), (s.anchor % np.uint64(len(shards))).astype(np.int64), shards, s.doc, places, mix(s.anchor), s.whole))
+        copy = _copies_in_block(s.anchor, s.whole, s.doc, ids)
+        sent = np.flatnonzero(~copy)
+        anchor = s.anchor[sent]
+        out = list(_deal(block, _orders(ids), (anchor % np.uint64(len(shards))).astype(np.int64), shards, s.doc[sent], places[sent], mix(anchor), s.whole[sent]))
         own = b"".join(r[0] for r in rows)
-        n = np.bincount(s.doc, minlength=len(rows)).astype("<u4").tobytes()
+        # numbers of segments, then documents and segments of the copies
+        n = np.concatenate([np.bincount(s.doc, minlength=len(rows)), s.doc[copy], s.number[copy]]).astype("<u4").tobytes()
         sizes = np.array([len(r[-1]) for r in rows], "<i8").tobytes()
         shas = b"".join(hashlib.sha256(r[-1]).digest() for r in rows)
         out.append((shards[block % len(shards)], block, _orders(ids), own, n, sizes, shas, True))
@@ -320,8 +333,9 @@ def _gather_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     def done(own, docs, marks):
         ids, rows = _ids(own[2]), _keys(own[3])
-        n, sizes = np.frombuffer(own[4], "<u4"), np.frombuffer(own[5], "<i8")
-        doc, mark = (np.concatenate(x) if x else np.empty(0, np.uint32) for x in (docs, marks))
+        n, copies = np.split(np.frombuffer(own[4], "<u4"), [len(ids)])
+        sizes, copies = np.frombuffer(own[5], "<i8"), copies.reshape(2, -1)
+        doc, mark = (np.concatenate([c, *x]) for c, x in zip(copies, (docs, marks)))
         order = np.argsort(doc, kind="stable")
         edges = np.searchsorted(doc[order], np.arange(len(ids) + 1))
         binary = [mark[order[a:z]].astype("<u4").tobytes() if z > a else None for a, z in zip(edges, edges[1:])]
