@@ -159,3 +159,36 @@ def test_console_sink_prints_every_nth(spark, tmp_path, capfd):
     q = sinks.console(spark.readStream.schema(f.schema).parquet(str(tmp_path / "in")), sample_every=3).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert capfd.readouterr().out.count("AAA") == 2
+
+
+@pytest.fixture
+def zero_prices(tmp_path):
+    """A directory of events: two sessions of T1 with 40 bars, one of them closing at 0."""
+    import duckdb
+
+    duckdb.sql(
+        "COPY (SELECT i AS event_id, 1::BIGINT AS user_id, TIMESTAMP '2024-01-10 15:00:00' + to_minutes(i % 40) + to_days(CAST(i // 40 AS INTEGER)) AS ts, 'click' AS event_type, "
+        "CASE WHEN i = 20 THEN 0.0 ELSE 50 + (i * 37 % 23) / 10.0 END AS value, '{\"k\": 1}' AS props FROM range(80) t(i)) "
+        f"TO '{tmp_path / 'events.parquet'}' (FORMAT parquet)"
+    )
+    return str(tmp_path)
+
+
+def against_sql(spark, sf_dir, name):
+    """Rows of the query and of its SQL, in one order."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{sf_dir}/events.parquet')")
+    want = con.execute(entry.oracle_sql()[name])
+    names = [c[0] for c in want.description]
+    key = names.index("ts_ns")
+    got = [tuple(r) for r in entry.queries()[name](spark, sf_dir).select(*names).collect()]
+    return sorted(got, key=lambda r: r[key]), sorted(want.fetchall(), key=lambda r: r[key])
+
+
+@pytest.mark.parametrize("name", ["f_rvol"])
+def test_a_bar_that_closes_at_zero_agrees_with_sql(spark, zero_prices, name):
+    got, want = against_sql(spark, zero_prices, name)
+    assert got == want and len(got) == (2 if name == "session_starts" else 80)

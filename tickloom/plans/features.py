@@ -411,10 +411,14 @@ def compute_custom(bars: DataFrame, columns: Iterable[str], make: Callable, univ
 
 
 def compute(
-    bars: DataFrame, trades: DataFrame | None = None, quotes: DataFrame | None = None, groups: Iterable[str] | None = None, order: str = "replay", universe: DataFrame | None = None
+    bars: DataFrame, trades: DataFrame | None = None, quotes: DataFrame | None = None, groups: Iterable[str] | None = None, order: str = "replay", universe: DataFrame | None = None,
+    returns_over: str = "values",
 ) -> DataFrame:
     """ticker, ts_ns and the features of the groups (all by default), one row a bar; missing is NULL.  universe: the
-    tickers that count, all of them by default."""
+    tickers that count, all of them by default.  returns_over: whether ``vol`` and ``rvol`` take the last n returns
+    (values) or the returns of the last n bars (bars); a bar after one that closed at 0 has no return."""
+    if returns_over not in ("values", "bars"):
+        raise ValueError("returns are taken over values or bars")
     bars, trades, quotes = (of_universe(df, universe) for df in (bars, trades, quotes))
     chosen = [REGISTRY[g] for g in (groups if groups is not None else REGISTRY)]
     df = bar_table(bars, trades, quotes, order)
@@ -423,6 +427,8 @@ def compute(
         for g in chosen:
             helpers |= getattr(g, pre)() if getattr(g, pre) else {}
             specs |= getattr(g, means) if means else {}
+        if returns_over == "bars" and "_seq" in helpers:
+            helpers["_seq"] = F.col("bar_idx")
         if helpers:
             df = df.withColumns(helpers)
         if specs:
