@@ -272,6 +272,29 @@ def test_spelling_is_a_distribution_and_leaves_own_counts_out():
     assert quality_lm.Spelling(keys[:0], counts[:0]).tokens(["ab"])[0] == pytest.approx(-3 * math.log(256))
 
 
+def test_words_outside_the_vocabulary_have_exact_counts(spark, documents):
+    common = "common " * 3000
+    texts = [(i, common + ("bataro " if i < 5 else "") + ("kosil " if i == 5 else "")) for i in range(8)]
+    texts = [(i, t.replace("bataro", "bataro gilu" if i < 1 else "bataro")) for i, t in texts] + [(100, "bataro"), (101, "gilu"), (102, "unseen"), (103, "kosil")]
+    trusted = documents(texts).where("doc_id < 8")
+    sums = quality_lm.word_table(trusted)
+    old = quality_lm.SHARE
+    quality_lm.SHARE = 1 / 2000
+    try:
+        vocab, rare = quality_lm.frequent(sums), quality_lm.rare_words(sums)
+    finally:
+        quality_lm.SHARE = old
+    assert list(vocab.ids) == ["common"]
+    words, spelt = ["bataro", "gilu", "kosil", "unseen"], np.log([1e-4, 2e-4, 3e-4, 4e-4])
+    n, shape = np.array([5, 1, 1, 0]), [quality_lm.LOWER] * 4
+    d = quality_lm.discounts([2, 0, 0, 0])
+    back = (d[3] + 2 * d[1]) / 7
+    assert np.exp(rare.log_prob(words, shape, spelt)) == pytest.approx((n - d[np.minimum(n, 3)]) / 7 + back * np.exp(spelt))
+    n = np.array([4, 0, 0, 0])
+    assert np.exp(rare.log_prob(words, shape, spelt, 1)) == pytest.approx((n - d[np.minimum(n, 3)]) / 7 + back * np.exp(spelt))
+    assert rare.log_prob(["X"], [quality_lm.TITLE], spelt[:1]) == pytest.approx(spelt[:1])  # no word of the shape
+
+
 def test_long_secrets_go_whole(spark):
     secret = "Ab3" * 70
     df = spark.createDataFrame([(f'login config\ntoken = "{secret}" end',)], "text string")
