@@ -5,8 +5,10 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -295,6 +297,69 @@ def test_words_outside_the_vocabulary_have_exact_counts(spark, documents):
     assert rare.log_prob(["X"], [quality_lm.TITLE], spelt[:1]) == pytest.approx(spelt[:1])  # no word of the shape
 
 
+def spelling_sums(texts, trusted, share, monkeypatch):
+    """Sums of the block rows of scoring, those of the formulas a document at a time, and keys looked up in tables."""
+    tokens = [quality_lm._TOKEN.findall(t) for t in texts]
+    n, docs = Counter(), Counter()
+    for t, good in zip(tokens, trusted):
+        if good:
+            n.update(t)
+            docs.update(set(t))
+    vocab = quality_lm.Vocabulary(sorted(w for w in n if n[w] >= share))
+    grams, lengths = quality_lm.four_grams(docs)
+    keys, at = np.unique(grams, return_inverse=True)
+    model = quality_lm.Spelling(keys, np.bincount(at, np.repeat([*docs.values()], lengths)))
+    rare = [w for w in docs if w not in vocab.ids]
+    words = quality_lm.RareWords(np.array([*map(quality_lm.word_hash, rare)], np.uint64), np.array([docs[w] for w in rare]), np.array([*map(quality_lm.shape_of, rare)]))
+    want = []
+    for t, good in zip(tokens, trusted):
+        mine = Counter(w for w in t if w not in vocab.ids)
+        p = model.tokens([*mine], set(t) if good else None)
+        p = words.log_prob([*mine], [*map(quality_lm.shape_of, mine)], p, int(good)) if mine else p
+        want.append(sum(p * [*mine.values()]))
+    looked_up, look_up = [0], quality_lm._look_up
+
+    def counted(known, values, keys):
+        looked_up[0] += len(keys)
+        return look_up(known, values, keys)
+
+    monkeypatch.setattr(quality_lm, "_look_up", counted)
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    k = len(texts)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(k)), pa.array(texts), pa.array(trusted), pa.array(range(k)), pa.array(["en"] * k)], [*"abcde"])
+    got = []
+    for out in quality_lm._blocks(iter([batch]), vocab, [0, 1], model, words):
+        for docs, keys, tfs in zip(*(out.column(i).to_pylist() for i in (2, 3, 4))):
+            if keys is None:
+                m = len(tfs) // 4
+                got += np.frombuffer(docs[9 * m : 17 * m], "<f8").tolist()
+    return got, want, looked_up[0]
+
+
+def test_spellings_of_blocks_match_those_of_single_documents(monkeypatch):
+    rng = random.Random(4)
+    extra = ["Été", "été", "ÉTÉ", "naïveX", "日本語", "x_1", "½", "42", "!?", "—", "Z", "ab" * 30]
+    texts = [" ".join(rng.choice([*WORDS, *extra, rng.choice(WORDS) + rng.choice(WORDS)]) for _ in range(rng.randint(1, 60))) for _ in range(60)] + ["", WORDS[0], "zzz unseen zzz 7"]
+    trusted = [i % 3 != 1 for i in range(60)] + [False] * 3
+    for block, kept in ((1000, 200_000), (7, 200_000), (7, 30)):
+        with monkeypatch.context() as m:
+            m.setattr(quality_lm, "BLOCK_DOCS", block)
+            m.setattr(quality_lm, "LEXICON", kept, raising=False)
+            m.setattr(quality_lm, "SLICE", 50 * block)
+            got, want, _ = spelling_sums(texts, trusted, 30, m)
+        assert got == pytest.approx(want, rel=1e-9) and len({*want}) > 50
+
+
+def test_a_block_looks_up_what_its_documents_share_once(monkeypatch):
+    text = " ".join(a + b for a in WORDS for b in WORDS[:8])
+    with monkeypatch.context() as m:
+        once = spelling_sums([text], [True], 10**9, m)[2]
+    with monkeypatch.context() as m:
+        got, want, often = spelling_sums([text] * 50, [True] * 50, 10**9, m)
+    assert got == pytest.approx(want, rel=1e-9)
+    assert often == once > 0
+
+
 def test_long_secrets_go_whole(spark):
     secret = "Ab3" * 70
     df = spark.createDataFrame([(f'login config\ntoken = "{secret}" end',)], "text string")

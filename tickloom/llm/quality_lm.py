@@ -20,7 +20,8 @@ Counts of word bigrams live in shards by a hash of the bigram.
 2. counts: blocks of trusted documents send their bigrams to the shards, which add them up; counts of counts
    and per-word context and continuation sums go to the driver (a few numbers a word);
 3. scoring: blocks of all documents send the distinct bigrams of each document to the shards, a shard joins them with
-   its counts and sends a sum of log-probabilities a document back to the block, which adds the shards up.
+   its counts and sends a sum of log-probabilities a document back to the block, which adds the shards up; a task
+   works out what depends on a token alone once for all new tokens of a block (``Lexicon``).
 What scoring moves is proportional to the corpus.  Since a document sends a bigram once, with its frequency, a frequent
 pair makes no shard hot.
 
@@ -44,8 +45,9 @@ from __future__ import annotations
 import json
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +67,9 @@ PRIOR = 30.0
 #: Documents and characters of a block at most (a longer document is a block of its own).
 BLOCK_DOCS, BLOCK_CHARS = 1000, 4_000_000
 
+#: Different tokens that a task keeps from block to block at most, with ten times as many byte four-grams.
+LEXICON = 200_000
+
 #: Shuffle partitions for each shard: a shard's rows are small, and every shard sends a sum for each document back.
 PARTITIONS_PER_SHARD = 4
 
@@ -89,38 +94,18 @@ def shape_of(token: str) -> int:
     return ALNUM if token[0].isalnum() or token[0] == "_" else SYMBOL + ord(token[0]) % SYMBOLS
 
 
-class Codes(dict):
-    """The code of a token: its number in the vocabulary or its shape; some hundred thousand short tokens are kept."""
-
-    def __init__(self, ids: dict[str, int]):
-        super().__init__(ids)
-        self.ids = ids
-
-    def __missing__(self, token: str) -> int:
-        out = shape_of(token)
-        if len(token) <= 40:
-            if len(self) > 200_000:
-                self.clear()
-                self.update(self.ids)
-            self[token] = out
-        return out
-
-    def __reduce__(self):
-        return Codes, (self.ids,)
-
-
 class Vocabulary:
     def __init__(self, words: list[str]):
         self.ids = {w: FIRST_WORD + i for i, w in enumerate(words)}
         self.size = FIRST_WORD + len(words)
-        self.known = Codes(self.ids)
 
-    def encode(self, text: str) -> np.ndarray:
-        return self.encode_tokens(_TOKEN.findall(text))
+    def codes(self, tokens: list[str], shapes: list[int]) -> np.ndarray:
+        """The number of each token of the vocabulary, the shape of any other."""
+        return np.fromiter(map(self.ids.get, tokens, shapes), np.int64, len(tokens))
 
-    def encode_tokens(self, tokens: list[str]) -> np.ndarray:
-        known = self.known
-        return np.array([START, *[known[t] for t in tokens], END], np.int64)
+    def encode(self, text: str) -> np.ndarray:
+        tokens = _TOKEN.findall(text)
+        return np.array([START, *self.codes(tokens, [*map(shape_of, tokens)]), END], np.int64)
 
 
 #: Bytes that UTF-8 never has: the shape that a token starts with, three times, and its end.
@@ -130,26 +115,14 @@ _STARTS = {s: bytes([SHAPE_BYTE + s]) * 3 for s in range(LOWER, SYMBOL + 1)}
 SLICE = 1 << 20
 
 
-def spelt(token: str) -> bytes:
-    shape = min(shape_of(token), SYMBOL)
+def spelt(token: str, shape: int | None = None) -> bytes:
+    shape = min(shape_of(token) if shape is None else shape, SYMBOL)
     return _STARTS[shape] + (token.lower() if shape in (TITLE, UPPER) else token).encode() + b"\xff"
 
 
-class Spelt(dict):
-    """What tokens are spelt like; some hundred thousand short ones are kept."""
-
-    def __missing__(self, token: str) -> bytes:
-        out = spelt(token)
-        if len(token) <= 40:
-            if len(self) > 200_000:
-                self.clear()
-            self[token] = out
-        return out
-
-
-def four_grams(tokens: Iterable[str], known: Spelt | None = None) -> tuple[np.ndarray, np.ndarray]:
+def four_grams(tokens: Iterable[str], shapes: Iterable[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The four-grams whose last byte the spelling model predicts, and the number of them in each token."""
-    parts = [spelt(t) for t in tokens] if known is None else [known[t] for t in tokens]
+    parts = [*map(spelt, tokens)] if shapes is None else [*map(spelt, tokens, shapes)]
     b = np.frombuffer(b"".join(parts), np.uint8)
     x = b.astype(np.uint32)
     keys = (x[:-3] << 24) | (x[1:-2] << 16) | (x[2:-1] << 8) | x[3:]
@@ -211,14 +184,21 @@ class Spelling:
         heads, at = np.unique(keys >> 8, return_inverse=True)
         return d, heads, np.bincount(at, counts, len(heads)), np.bincount(at, d[np.minimum(counts, 3)], len(heads))
 
-    def log_prob(self, keys: np.ndarray, own: np.ndarray | int = 0) -> np.ndarray:
-        """own: counts of the keys to be left out."""
-        n = np.maximum(_look_up(self.keys, self.counts, keys) - own, 0)
+    def parts(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each key its count, what is added to its discounted count, and what both are divided by."""
         last = keys & np.uint32(0xFFFFFF)
         low = _look_up(self.threes, self.three, last) + self.back[last >> 8] * self.two[last & np.uint32(0xFFFF)]
         c = _look_up(self.heads, self.totals, keys >> 8)
-        high = (n - self.d[np.minimum(n, 3)] + _look_up(self.heads, self.spare, keys >> 8) * low) / np.maximum(c, 1)
-        return np.log(np.where(c > 0, high, low))
+        spare = np.where(c > 0, _look_up(self.heads, self.spare, keys >> 8), 1.0)
+        return _look_up(self.keys, self.counts, keys), spare * low, np.maximum(c, 1)
+
+    def mix(self, n: np.ndarray, added: np.ndarray, divisor: np.ndarray) -> np.ndarray:
+        return np.log((n - self.d[np.minimum(n, 3)] + added) / divisor)
+
+    def log_prob(self, keys: np.ndarray, own: np.ndarray | int = 0) -> np.ndarray:
+        """own: counts of the keys to be left out."""
+        n, added, divisor = self.parts(keys)
+        return self.mix(np.maximum(n - own, 0), added, divisor)
 
     def tokens(self, tokens: list[str], own: Iterable[str] | None = None) -> np.ndarray:
         """The log-probability of each token's spelling.  own: different tokens whose counts are left out."""
@@ -235,7 +215,7 @@ class Spelling:
 
 
 def word_hash(token: str) -> int:
-    return xxhash.xxh64_intdigest(token.encode())
+    return xxhash.xxh64_intdigest(token)  # of its UTF-8
 
 
 class RareWords:
@@ -251,41 +231,110 @@ class RareWords:
         with np.errstate(divide="ignore"):  # a shape without words has the spelling alone
             self.log_back = np.log(np.where(self.totals > 0, spare / np.maximum(self.totals, 1), 1.0))
 
-    def log_prob(self, tokens: list[str], shapes: list[int], spelt: np.ndarray, own: int = 0) -> np.ndarray:
-        """spelt: log-probabilities of the spellings; own: documents to be left out of each count."""
-        n = _look_up(self.hashes, self.counts, np.fromiter(map(word_hash, tokens), np.uint64, len(tokens)))
-        n, shape = np.maximum(n - own, 0), np.array(shapes, np.int64)
+    def documents(self, tokens: list[str]) -> np.ndarray:
+        """The number of documents that have each token."""
+        hashes = np.fromiter(map(word_hash, tokens), np.uint64, len(tokens))
+        order = np.argsort(hashes)  # neighbours lie together in the table, which may be long
+        n = np.empty(len(tokens), np.int64)
+        n[order] = _look_up(self.hashes, self.counts, hashes[order])
+        return n
+
+    def mix(self, n: np.ndarray, shape: np.ndarray, spelt: np.ndarray) -> np.ndarray:
         high = (n - self.d[np.minimum(n, 3)]) / np.maximum(self.totals[shape], 1)
         with np.errstate(divide="ignore"):
             return np.logaddexp(np.log(high), self.log_back[shape] + spelt)
 
+    def log_prob(self, tokens: list[str], shapes: list[int], spelt: np.ndarray, own: int = 0) -> np.ndarray:
+        """spelt: log-probabilities of the spellings; own: documents to be left out of each count."""
+        return self.mix(np.maximum(self.documents(tokens) - own, 0), np.array(shapes, np.int64), spelt)
+
+
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its length."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class Lexicon:
+    """Numbers of a task's tokens in order of appearance, and what depends on the token alone, worked out once for the new
+    tokens of a block: its code and, with the models, its four-grams, trusted documents and log-probability.
 
-class Speller:
-    """Sums of the words outside the vocabulary, given their shapes; frequent short tokens are kept between documents."""
-
-    def __init__(self, vocab: Vocabulary, model: Spelling, words: RareWords):
-        self.vocab, self.model, self.words, self.kept, self.known = vocab, model, words, {}, Spelt()
-
-    def __call__(self, tokens: list[str], trusted: bool) -> float:
-        ids, codes = self.vocab.ids, self.vocab.known
-        rare = Counter([t for t in tokens if t not in ids])
-        if not rare:
-            return 0.0
-        if trusted:  # its own counts are left out, so nothing can be kept; each of its four-grams is looked up once
-            keys, lengths = four_grams([*rare, *(t for t in set(tokens) if t in ids)], self.known)
-            mine, at, times = np.unique(keys, return_inverse=True, return_counts=True)
-            lengths = lengths[: len(rare)]
-            p = self.model.log_prob(mine, times)[at[: lengths.sum()]]
-            p = self.words.log_prob(list(rare), [codes[t] for t in rare], np.add.reduceat(p, np.cumsum(lengths) - lengths), 1)
-            return float(p @ np.fromiter(rare.values(), float, len(rare)))
-        kept = self.kept
-        new = [t for t in rare if t not in kept]
-        found = dict(zip(new, self.words.log_prob(new, [codes[t] for t in new], self.model.tokens(new)).tolist()))
-        total = sum(n * (found[t] if t in found else kept[t]) for t, n in rare.items())
-        if len(kept) > 200_000:
-            kept.clear()
-        kept.update((t, p) for t, p in found.items() if len(t) <= 40)
-        return total
+    ``forget`` is called between blocks, since it makes all numbers given before void.
+    """
+
+    def __init__(self, vocab: Vocabulary, model: Spelling | None = None, words: RareWords | None = None):
+        self.vocab, self.model, self.words = vocab, model, words
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers = defaultdict(count().__next__)
+        self.codes, self.grams = np.empty(0, np.int64), np.empty(0, np.uint32)
+        self.starts, self.lengths, self.docs = (np.empty(0, np.int64) for _ in range(3))
+        self.free = np.empty(0)  # log-probabilities given the shapes, 0 in the vocabulary
+
+    def full(self) -> bool:
+        return len(self.codes) > LEXICON or len(self.grams) > 10 * LEXICON
+
+    def number(self, text: str) -> np.ndarray:
+        """The numbers of a text's tokens; the arrays know them after ``learn``."""
+        tokens = _TOKEN.findall(text)
+        return np.fromiter(map(self.numbers.__getitem__, tokens), np.int64, len(tokens))
+
+    def learn(self) -> None:
+        new = list(islice(self.numbers, len(self.codes), None))
+        if not new:
+            return
+        shapes = [*map(shape_of, new)]
+        codes = self.vocab.codes(new, shapes)
+        self.codes = np.concatenate([self.codes, codes])
+        if self.model is None:
+            return
+        grams, lengths = four_grams(new, shapes)
+        starts = np.cumsum(lengths) - lengths
+        p = np.empty(len(grams))
+        for a in range(0, len(grams), SLICE):
+            keys, at = np.unique(grams[a : a + SLICE], return_inverse=True)
+            p[a : a + SLICE] = self.model.log_prob(keys)[at]
+        spelt = np.add.reduceat(p, starts)
+        rare = np.flatnonzero(codes < FIRST_WORD)
+        docs, free = np.zeros(len(new), np.int64), np.zeros(len(new))
+        docs[rare] = self.words.documents([new[i] for i in rare.tolist()])
+        free[rare] = self.words.mix(docs[rare], codes[rare], spelt[rare])
+        self.starts = np.concatenate([self.starts, starts + len(self.grams)])
+        self.grams = np.concatenate([self.grams, grams])
+        self.lengths, self.docs, self.free = (np.concatenate(x) for x in ((self.lengths, lengths), (self.docs, docs), (self.free, free)))
+
+    def spellings(self, docs: list[np.ndarray], good: np.ndarray) -> np.ndarray:
+        """Sums of the words outside the vocabulary, given their shapes, of documents as numbers of tokens."""
+        out = np.array([self.free[d].sum() for d in docs])
+        trusted = np.flatnonzero(good)
+        if not len(trusted):
+            return out
+        used = np.unique(np.concatenate([docs[i] for i in trusted]))
+        lengths = self.lengths[used]
+        keys, at = np.unique(self.grams[_ranges(self.starts[used], lengths)], return_inverse=True)
+        starts = np.zeros(len(self.codes), np.int64)  # of the four-grams of a token in at
+        starts[used] = np.cumsum(lengths) - lengths
+        n, added, divisor = self.model.parts(keys)
+        times = np.zeros(len(keys), np.int64)
+        for i in trusted:
+            mine, tfs = np.unique(docs[i], return_counts=True)
+            outside = self.codes[mine] < FIRST_WORD
+            rare, common = mine[outside], mine[~outside]
+            if not len(rare):
+                continue
+            lengths = self.lengths[rare]
+            grams, others = at[_ranges(starts[rare], lengths)], at[_ranges(starts[common], self.lengths[common])]
+            np.add.at(times, grams, 1)
+            np.add.at(times, others, 1)
+            if len(grams) < len(keys):
+                p = self.model.mix(np.maximum(n[grams] - times[grams], 0), added[grams], divisor[grams])
+            else:  # a long document has each key many times
+                p = self.model.mix(np.maximum(n - times, 0), added, divisor)[grams]
+            times[grams] = times[others] = 0
+            spelt = np.add.reduceat(p, np.cumsum(lengths) - lengths)
+            out[i] = self.words.mix(np.maximum(self.docs[rare] - 1, 0), self.codes[rare], spelt) @ tfs[outside]
+        return out
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,13 +427,15 @@ def _blocks(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, shards: list[i
     from pyspark import TaskContext
 
     base, number = TaskContext.get().partitionId() << 32, 0
-    doc_ids, keys, chars, good, spellings, hashes, langs = [], [], 0, [], [], [], []
-    merge, speller = model is None, model and Speller(vocab, model, words)
+    doc_ids, numbers, chars, good, hashes, langs = [], [], 0, [], [], []
+    merge, lexicon = model is None, Lexicon(vocab, model, words)
 
     def flush():
-        nonlocal doc_ids, keys, chars, good, number, spellings, hashes, langs
+        nonlocal doc_ids, numbers, chars, good, number, hashes, langs
         trusted = np.array(good, np.int64)
         block, out = base + number, []
+        lexicon.learn()
+        keys = [bigrams(np.concatenate([[START], lexicon.codes[d], [END]]), vocab.size) for d in numbers]
         own = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
         both, tfs = np.unique(own << 40 | np.concatenate(keys), return_counts=True)
         docs, key = both >> 40, both & ((1 << 40) - 1)
@@ -401,28 +452,28 @@ def _blocks(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, shards: list[i
                 out.append((shards[s], block, sent.astype("<u2").tobytes(), key[at].astype("<u4").tobytes(), tfs[at].astype("<u4").tobytes()))
         if not merge:
             ids = np.array([i or 0 for i in doc_ids], "<i8").tobytes() + np.array([i is None for i in doc_ids], np.uint8).tobytes()
-            ids += np.array(spellings, "<f8").tobytes() + np.array(hashes, "<i8").tobytes() + trusted.astype(np.uint8).tobytes()
+            ids += lexicon.spellings(numbers, trusted).astype("<f8").tobytes() + np.array(hashes, "<i8").tobytes() + trusted.astype(np.uint8).tobytes()
             ids += json.dumps(langs).encode()
             out.append((shards[block % len(shards)], block, ids, None, np.array([len(k) for k in keys], "<u4").tobytes()))
-        doc_ids, keys, chars, good, number, spellings, hashes, langs = [], [], 0, [], number + 1, [], [], []
+        doc_ids, numbers, chars, good, number, hashes, langs = [], [], 0, [], number + 1, [], []
+        if lexicon.full():
+            lexicon.forget()
         return _rows(out)
 
     for b in batches:
         more = zip(b.column(3).to_pylist(), b.column(4).to_pylist()) if not merge else [(0, "")] * len(b)
         for i, t, g, (hashed, lang) in zip(b.column(0), b.column(1), b.column(2).to_pylist(), more):
             text = t.as_py()
-            if keys and (len(keys) >= BLOCK_DOCS or chars + len(text) > BLOCK_CHARS):
+            if numbers and (len(numbers) >= BLOCK_DOCS or chars + len(text) > BLOCK_CHARS):
                 yield flush()
             doc_ids.append(i.as_py())
-            tokens = _TOKEN.findall(text)
-            keys.append(bigrams(vocab.encode_tokens(tokens), vocab.size))
-            if speller:
-                spellings.append(speller(tokens, g))
+            numbers.append(lexicon.number(text))
+            if not merge:
                 hashes.append(hashed)
                 langs.append(lang)
             good.append(g)
             chars += len(text)
-    if keys:
+    if numbers:
         yield flush()
 
 
